@@ -280,14 +280,19 @@ def accumulate_chunks(
 
 
 def summarize_chunks(
-    df: DataFrame, keys: Sequence[str], chunk: str, ts: str
+    df: DataFrame, keys: Sequence[str], chunk: str, ts: str, dense: bool = False
 ) -> DataFrame:
-    """(keys, chunk_no, rows, at_us) of rows that carry a chunk number; settled."""
-    counted = df.groupBy(*keys, F.col(chunk).cast("bigint").alias("chunk_no")).agg(
+    """(keys, _chunk, chunk_no, rows, at_us) of rows that carry an ascending chunk number.
+
+    `dense` says that the numbers already run 0, 1, 2, ... per key. Settled.
+    """
+    counted = df.groupBy(*keys, F.col(chunk).cast("bigint").alias("_chunk")).agg(
         F.count(F.lit(1)).alias("rows"),
         F.max(F.unix_micros(F.col(ts).cast("timestamp"))).alias("at_us"),
     )
-    return settle(counted)
+    if dense:
+        return settle(counted.withColumn("chunk_no", F.col("_chunk")))
+    return settle(number_rows(counted, keys, ["_chunk"], "chunk_no"))
 
 
 def assign_batches(
@@ -300,6 +305,7 @@ def assign_batches(
     timeout_seconds: float | None = BATCH_TIMEOUT_SECONDS,
     keep_partial: bool = True,
     name: str = "batch",
+    dense: bool = False,
     **tuning: int,
 ) -> DataFrame:
     """Give every row the batch its chunk falls into.
@@ -307,11 +313,16 @@ def assign_batches(
     Only the chunk sizes go through the gathering; rows are joined back by (key, chunk).
     `keep_partial` keeps the batch that is still open at the end, whatever its size.
     """
-    chunks = summarize_chunks(df, keys, chunk, ts)
+    chunks = summarize_chunks(df, keys, chunk, ts, dense)
     labels = accumulate_chunks(chunks, keys, size, min_rows, timeout_seconds, **tuning)
     if not keep_partial:
         labels = labels.where("complete")
-    labels = labels.select(
-        *keys, F.col("chunk_no").alias(chunk), F.col("batch").alias(name), "complete"
+    if not dense:
+        labels = labels.join(chunks.select(*keys, "chunk_no", "_chunk"), [*keys, "chunk_no"])
+    found = labels.select(
+        *keys,
+        F.col("chunk_no" if dense else "_chunk").alias(chunk),
+        F.col("batch").alias(name),
+        "complete",
     )
-    return df.withColumn(chunk, F.col(chunk).cast("bigint")).join(labels, [*keys, chunk])
+    return df.withColumn(chunk, F.col(chunk).cast("bigint")).join(found, [*keys, chunk])
