@@ -24,17 +24,18 @@ def lookup_join(
     spread_by: Sequence[str] = (),
     limit: int = BROADCAST_ROWS,
     salts: int = SALTS,
-    small: bool | None = None,
+    rows: int | None = None,
 ) -> DataFrame:
     """Join `left` with a narrow, settled lookup table on equal columns.
 
     A table of at most `limit` rows is broadcast. A larger one is shuffled, with every
     lookup row repeated for `salts` salts, so that the rows of one hot key on the left go
     to many tasks; the salt of a left row is a hash of its `spread_by` columns and stays
-    the same when a task is run again. Pass `small` to reuse an earlier size check.
+    the same when a task is run again. `rows` is the size of the lookup table where it
+    was counted before; else it is counted here, up to the limit.
     """
     on = list(on)
-    if is_small(right, limit) if small is None else small:
+    if is_small(right, limit) if rows is None else rows <= limit:
         return left.join(F.broadcast(right), on, how)
     spread = [c for c in spread_by if c in left.columns] or left.columns
     salted = left.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))

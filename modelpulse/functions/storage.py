@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -28,6 +29,13 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def settle_counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """`settle`, with the number of rows counted on the way instead of by a second job."""
+    seen = Observation()
+    settled = settle(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    return settled, int(seen.get["n"])
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new folder name for a table that one call writes and reads back."""
     return f"{shared_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"

@@ -22,26 +22,34 @@ def baseline_pred_stats(df: DataFrame, spec: BatchSpec) -> DataFrame:
     return stats.select(spec.model, F.lit("gini").alias("metric"), "mean", std.alias("std"))
 
 
-def baseline_defaults(models: DataFrame, fairness: bool, model: str = "model_id") -> DataFrame:
-    """The fixed expectations of the other vitals for every model; parity only with fairness on."""
-    rows = [
-        F.struct(F.lit(m).alias("metric"), F.lit(mean).alias("mean"), F.lit(std).alias("std"))
+def _fixed(fairness: bool) -> str:
+    """The fixed expectations as SQL structs; parity only with fairness on."""
+    return ", ".join(
+        f"struct('{m}' as metric, {mean}D as mean, {std}D as std)"
         for m, (mean, std) in BASELINE_DEFAULTS.items()
         if fairness or m != PARITY
-    ]
-    return models.select(model, F.inline(F.array(*rows)))
+    )
+
+
+def baseline_defaults(models: DataFrame, fairness: bool, model: str = "model_id") -> DataFrame:
+    """The fixed expectations of the other vitals for every model; parity only with fairness on."""
+    return models.selectExpr(model, f"inline(array({_fixed(fairness)}))")
 
 
 def baseline_summary(df: DataFrame, spec: BatchSpec) -> DataFrame:
     """Long table (model, metric, mean, std); one scan of the baseline rows."""
     stats = baseline_pred_stats(df, spec)
-    fixed = [
-        F.struct(F.lit(m).alias("metric"), F.lit(mean).alias("mean"), F.lit(std).alias("std"))
-        for m, (mean, std) in BASELINE_DEFAULTS.items()
-        if spec.protected is not None or m != PARITY
-    ]
-    own = F.struct("metric", "mean", "std")
-    return stats.select(spec.model, F.inline(F.array(own, *fixed)))
+    own = "struct(metric, mean, std)"
+    return stats.selectExpr(spec.model, f"inline(array({own}, {_fixed(spec.protected is not None)}))")
+
+
+def summary_from_profile(profile: DataFrame, spec: BatchSpec) -> DataFrame:
+    """The same table from a profile that also covers the prediction column; no scan."""
+    own = profile.where(F.col("feature") == spec.prediction).select(
+        spec.model, F.lit("gini").alias("metric"), "mean", "std"
+    )
+    fixed = baseline_defaults(own, spec.protected is not None, spec.model)
+    return own.unionByName(fixed)
 
 
 def check_baseline(

@@ -11,8 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from modelpulse.functions.joins import is_small, lookup_join
-from modelpulse.functions.storage import settle
+from modelpulse.functions.joins import BROADCAST_ROWS, lookup_join
+from modelpulse.functions.storage import settle, settle_counted
 from modelpulse.spec import EPSILON, OOD_Z, PSI_BINS, BatchSpec
 
 def long_features(df: DataFrame, features: Sequence[str], keep: Sequence[str]) -> DataFrame:
@@ -78,7 +78,7 @@ def baseline_profile(
         F.expr("max(x) as hi"),
         F.expr(f"bool_and({FINITE}) as usable"),
     )
-    stats = settle(
+    stats, rows = settle_counted(
         stats.selectExpr(
             model,
             "feature",
@@ -92,13 +92,12 @@ def baseline_profile(
             "usable",
         )
     )
-    small = is_small(stats)
     ranged = lookup_join(
         long, stats.select(model, "feature", "edge_lo", "edge_hi"), [model, "feature"],
-        spread_by=row_id, small=small,
+        spread_by=row_id, rows=rows,
     )
     counted = with_bin(ranged, bins).groupBy(model, "feature").agg(*_bin_counts(bins))
-    joined = lookup_join(counted, stats, [model, "feature"], small=small)
+    joined = lookup_join(counted, stats, [model, "feature"], rows=rows)
     return settle(joined.selectExpr(*stats.columns, f"{_bin_shares(bins)} as p"))
 
 
@@ -135,8 +134,8 @@ def drift_by_feature(
     model = by[0]
     long = long_features(live, features, [*by, *[c for c in row_id if c not in by]])
     limits = profile.select(model, "feature", "mean", "std", "edge_lo", "edge_hi")
-    small = is_small(profile)
-    joined = lookup_join(long, limits, [model, "feature"], spread_by=row_id, small=small)
+    rows = profile.limit(BROADCAST_ROWS + 1).count()
+    joined = lookup_join(long, limits, [model, "feature"], spread_by=row_id, rows=rows)
     real = "x is not null and not isnan(x)"
     band = f"{float(threshold)}D * std"
     cells = with_bin(joined, bins).selectExpr(
@@ -161,7 +160,7 @@ def drift_by_feature(
     )
     scored = lookup_join(
         with_shares, profile.select(model, "feature", "std", "p"), [model, "feature"],
-        spread_by=by, small=small,
+        spread_by=by, rows=rows,
     )
     return scored.selectExpr(
         *by,

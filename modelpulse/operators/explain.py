@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from modelpulse.functions.joins import is_small, lookup_join
-from modelpulse.functions.storage import settle
+from modelpulse.functions.joins import lookup_join
+from modelpulse.functions.storage import settle_counted
 from modelpulse.spec import EPSILON, LOG_EPSILON, TOP_FEATURES
 
 
@@ -41,7 +41,7 @@ def shap_score(
     else:
         cells = df.selectExpr(*by, f"abs(cast({shap} as double)) as _v", "1 as _first")
     given = "_v is not null and not isnan(_v)"
-    totals = settle(
+    totals, rows = settle_counted(
         cells.groupBy(*by).agg(
             F.expr("sum(_first) as _rows"),
             F.expr("count(*) as _cells"),
@@ -50,11 +50,10 @@ def shap_score(
             F.expr(f"coalesce(max(if({given}, _v, null)), 0D) as _peak"),
         )
     )
-    small = is_small(totals)
     counted = cells.where(f"{given} and _v > 0").groupBy(*by, "_v").agg(F.expr("count(*) as _c"))
     sums = totals.where("_total > 0").select(*by, "_total")
     entropy = (
-        lookup_join(counted, sums, by, spread_by=["_v"], small=small)
+        lookup_join(counted, sums, by, spread_by=["_v"], rows=rows)
         .groupBy(*by)
         .agg(F.expr(f"sum(_c * _v / _total * ln(_v / _total + {LOG_EPSILON}D)) as _entropy"))
     )

@@ -7,8 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from modelpulse.functions.joins import lookup_join
 from modelpulse.functions.ordering import into_slices
 from modelpulse.functions.scalars import missing, plain_double
+from modelpulse.functions.storage import settle_counted
 from modelpulse.spec import PARITY, BatchSpec, SpecError
 
 
@@ -113,14 +115,11 @@ def minmax_normalize(
     df: DataFrame, column: str, by: Sequence[str], name: str, row_id: Sequence[str] = ()
 ) -> DataFrame:
     """(x - min) / (max - min) inside each set; NULL where the set is constant."""
-    from modelpulse.functions.joins import lookup_join
-    from modelpulse.functions.storage import settle
-
     by = list(by)
-    ranges = settle(
+    ranges, rows = settle_counted(
         df.groupBy(*by).agg(F.min(column).alias("_lo"), F.max(column).alias("_hi"))
     )
-    joined = lookup_join(df, ranges, by, "inner", spread_by=row_id)
+    joined = lookup_join(df, ranges, by, spread_by=row_id, rows=rows)
     span = F.col("_hi") - F.col("_lo")
     return joined.select(
         *df.columns, F.try_divide(plain_double(column) - F.col("_lo"), span).alias(name)

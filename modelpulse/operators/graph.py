@@ -7,9 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from modelpulse.functions.joins import BROADCAST_ROWS, is_small
+from modelpulse.functions.joins import BROADCAST_ROWS, is_small, lookup_join
 from modelpulse.functions.ordering import number_rows, overlapped, own_rows
-from modelpulse.functions.storage import settle
+from modelpulse.functions.storage import settle, settle_counted
 from modelpulse.spec import NODE_STATUSES, STATUS_SCORES
 
 STRONG = 0.5
@@ -155,13 +155,11 @@ def check_graph(
 def on_cycle(edges: DataFrame) -> DataFrame:
     """Nodes on a cycle or between two cycles: what is left after removing, again and again,
     the edges that start at a node without inputs or end at one without outputs."""
-    left = settle(edges.select("src", "dst").distinct())
-    size = left.count()
+    left, size = settle_counted(edges.select("src", "dst").distinct())
     while size:
         kept = left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
         kept = kept.join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
-        left = settle(kept)
-        now = left.count()
+        left, now = settle_counted(kept)
         if now == size:
             break
         size = now
@@ -171,40 +169,51 @@ def on_cycle(edges: DataFrame) -> DataFrame:
 # --- spread of failures -------------------------------------------------------------------
 
 
-def _step(frontier: DataFrame, edges: DataFrame, size: int) -> DataFrame:
-    """Targets of the edges that leave the frontier.
+ACTIVE, WARNING, CRITICAL = 1, 2, 3
+HUB_SALTS = 32
+
+
+def _follow(links: DataFrame, frontier: DataFrame, size: int) -> DataFrame:
+    """Links that leave the frontier, with the level of the node they leave.
 
     A small frontier is broadcast. With a larger one both sides shuffle on src; salting the
-    edges by their target keeps a hub with very many edges out of a single task.
+    links by their target keeps a hub with very many of them out of a single task.
     """
+    begun = frontier.select(F.col("node").alias("src"), "level")
     if size <= BROADCAST_ROWS:
-        hit = edges.join(F.broadcast(frontier), F.col("src") == F.col("node"), "left_semi")
-        return hit.select(F.col("dst").alias("node"))
-    salts = 32
-    salted = edges.withColumn("_salt", F.pmod(F.xxhash64("dst"), F.lit(salts)).cast("int"))
-    copies = frontier.select(
-        F.col("node").alias("src"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt")
-    )
-    return salted.join(copies, ["src", "_salt"], "left_semi").select(F.col("dst").alias("node"))
+        return links.join(F.broadcast(begun), "src")
+    salt = F.pmod(F.xxhash64("dst"), F.lit(HUB_SALTS)).cast("int")
+    copies = begun.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(HUB_SALTS - 1))))
+    return links.withColumn("_salt", salt).join(copies, ["src", "_salt"])
 
 
-def reach(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """Nodes reached from the seeds, the seeds included.
+def _spread(links: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Highest level (node, level) every node gets; links are src, dst, strong, own.
 
-    Each round follows the edges of the nodes found last and keeps the new ones, so a node
-    is expanded once even where many paths or a cycle lead to it. Every round is settled in
-    the shared folder; the loop ends with the depth of the graph.
+    A strong link hands on the level of its source, a weak one only that the target is to be
+    walked on from; a target never has less than its own level. Each round follows the links
+    of the nodes whose level rose last, and keeps the targets that rise, so paths are never
+    enumerated and cycles end. Every round is settled in the shared folder; the number of
+    rounds is the depth of the graph.
     """
-    links = settle(edges.select("src", "dst"))
-    frontier = settle(seeds.select("node").distinct())
-    found, size = frontier, frontier.count()
+    frontier, size = settle_counted(seeds.select("node", F.lit(CRITICAL).alias("level")).distinct())
+    found = frontier
+    given = F.expr(f"greatest(if(strong, level, {ACTIVE}), own) as level")
     while size:
-        targets = _step(frontier, links, size).distinct()
-        frontier = settle(targets.join(found, "node", "left_anti"))
-        size = frontier.count()
+        reached = _follow(links, frontier, size).select(F.col("dst").alias("node"), given)
+        best = reached.groupBy("node").agg(F.max("level").alias("level")).alias("n")
+        known = found.alias("o")
+        not_lower = (F.col("n.node") == F.col("o.node")) & (F.col("o.level") >= F.col("n.level"))
+        frontier, size = settle_counted(best.join(known, not_lower, "left_anti"))
         if size:
             found = found.unionByName(frontier)
-    return found
+    return found.groupBy("node").agg(F.max("level").alias("level"))
+
+
+def reach(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Nodes reached from the seeds over any edge, the seeds included."""
+    links = edges.select("src", "dst", F.lit(True).alias("strong"), F.lit(ACTIVE).alias("own"))
+    return _spread(settle(links), seeds).select("node")
 
 
 def propagate(
@@ -218,22 +227,23 @@ def propagate(
     wins; a visit order decides nothing. With all other nodes green that is the set
     reachable over strong edges.
     """
-    seeds = settle(seeds.select("node").distinct())
-    edges = settle(latest_edges(edges, "seq" if "seq" in edges.columns else None))
-    strong = edges.where(F.col("weight") >= min_weight)
-    alarmed = status.where(F.col("status").isin("critical", "warning"))
-    others = settle(alarmed.join(seeds, "node", "left_anti").select("node", "status"))
-    if others.isEmpty():
-        critical, warning = reach(strong, seeds), None
+    latest = latest_edges(edges, "seq" if "seq" in edges.columns else None)
+    own = F.expr(f"case status when 'critical' then {CRITICAL} when 'warning' then {WARNING} end")
+    alarmed, count = settle_counted(
+        status.where("status in ('critical', 'warning')").select(
+            F.col("node").alias("dst"), own.alias("own")
+        )
+    )
+    links = latest.select("src", "dst", (F.col("weight") >= min_weight).alias("strong"))
+    if count == 0:
+        # Below a weak edge all is green and stays so.
+        links = links.where("strong").withColumn("own", F.lit(ACTIVE))
     else:
-        active = reach(edges, seeds)
-        own = settle(others.join(active, "node", "left_semi"))
-        critical = reach(strong, seeds.unionByName(own.where("status = 'critical'").select("node")))
-        warned = own.where("status = 'warning'").select("node")
-        warning = reach(strong, warned).join(critical, "node", "left_anti")
-    raised = critical.select("node", F.lit("critical").alias("_new"))
-    if warning is not None:
-        raised = raised.unionByName(warning.select("node", F.lit("warning").alias("_new")))
+        links = lookup_join(links, alarmed, ["dst"], "left", spread_by=["src"], rows=count)
+        links = links.withColumn("own", F.expr(f"coalesce(own, {ACTIVE})"))
+    levels = _spread(settle(links), seeds)
+    new = F.expr(f"case level when {CRITICAL} then 'critical' when {WARNING} then 'warning' end")
+    raised = levels.select("node", new.alias("_new"))
     after = F.coalesce(F.col("_new"), F.col("status"))
     return status.join(raised, "node", "left").select(
         "node", after.alias("status"), (after != F.col("status")).alias("raised")

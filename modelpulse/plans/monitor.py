@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from modelpulse.functions.joins import lookup_join
-from modelpulse.functions.storage import settle
+from modelpulse.functions.storage import settle, settle_counted
 from modelpulse.operators import baseline as base
 from modelpulse.operators import drift as dr
 from modelpulse.operators import fairness, graph, grading, privacy, reporting, validation
@@ -98,17 +98,16 @@ def run_batches(
     state of their node like a critical batch does. The node of a model is its key.
     """
     by = spec.by
-    summary = settle(base.baseline_summary(baseline, spec))
-    profile = dr.baseline_profile(
-        baseline, spec.numerical, spec.model, row_id=spec.row_id
-    )
+    described = list(dict.fromkeys([*spec.numerical, spec.prediction]))
+    profile = dr.baseline_profile(baseline, described, spec.model, row_id=spec.row_id)
+    summary = base.summary_from_profile(profile, spec)
     violations = validation.check_batches(live, spec)
     unprofiled = profile_failures(live.select(*by).distinct(), profile, spec)
     at = F.col(by[-1]).cast("timestamp")
-    failed = settle(
+    failed, rejected = settle_counted(
         validation.failures(violations.unionByName(unprofiled), spec, stage, at)
     )
-    valid = live if failed.isEmpty() else validation.accepted(live, failed, by)
+    valid = live if rejected == 0 else validation.accepted(live, failed, by)
     evaluated = vitals(valid, summary, profile, spec)
     overall = grading.overall_status(evaluated, by)
     requests = graph.node_requests(overall, failed, by, F.col(spec.model), at)
@@ -153,14 +152,14 @@ def record_with_trace(
     states = graph.node_status(
         asked.drop("node").withColumnRenamed("_node", "node"), ["seq"], "own_status"
     ).select(*spec.by, "own_status")
-    first = settle(
+    first, models = settle_counted(
         run.requests.where(F.col("req_status") == "critical")
         .groupBy(model)
         .agg(F.min(order).alias("_first"))
     )
     # One row, joined on a constant: the stage graph was checked to be small above.
     record = (
-        lookup_join(run.records.join(states, spec.by, "left"), first, [model], "left")
+        lookup_join(run.records.join(states, spec.by, "left"), first, [model], "left", rows=models)
         .withColumn("_one", F.lit(1))
         .join(F.broadcast(stages.withColumn("_one", F.lit(1))), "_one")
     )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from modelpulse.functions.joins import lookup_join
-from modelpulse.functions.storage import settle
+from modelpulse.functions.storage import settle_counted
 from modelpulse.spec import BatchSpec, Protected
 
 LIVE_FROM = "2024-01-11"
@@ -80,8 +80,10 @@ def live_rows(df: DataFrame, start: str = LIVE_FROM, ts: str = "ts") -> DataFram
 
 def with_shap(live: DataFrame, baseline: DataFrame, spec: BatchSpec, name: str = "shap") -> DataFrame:
     """Attribution of a linear model of one feature: prediction minus its baseline mean."""
-    means = settle(baseline.groupBy(spec.model).agg(F.avg(spec.prediction).alias("_mean")))
-    joined = lookup_join(live, means, [spec.model], "left", spread_by=spec.row_id)
+    means, rows = settle_counted(
+        baseline.groupBy(spec.model).agg(F.avg(spec.prediction).alias("_mean"))
+    )
+    joined = lookup_join(live, means, [spec.model], "left", spread_by=spec.row_id, rows=rows)
     return joined.withColumn(name, F.col(spec.prediction) - F.col("_mean")).drop("_mean")
 
 
