@@ -18,9 +18,7 @@ SILENCE = 6 * 3600
 
 
 @query("node_request", f"""WITH {q.RECORD}
-SELECT model_id AS node, CAST(batch AS TIMESTAMP) AS seq,
-       CASE status WHEN 'normal' THEN 'green' ELSE status END AS req_status
-FROM vr""")
+SELECT model_id AS node, CAST(batch AS TIMESTAMP) AS seq, req AS req_status FROM rq""")
 def node_request(spark, sf_dir):
     run = monitored_events(spark, sf_dir)
     return run.requests.select("node", F.col("seq").cast("timestamp_ntz").alias("seq"), "req_status")

@@ -38,16 +38,15 @@ LINKS = [("Data_Stream", "SDK_Intercept", 1.0), ("SDK_Intercept", "Vitals_Engine
 
 
 @query("vitals_record_trace", f"""WITH {q.RECORD},
-ls AS (SELECT *, lag(status) OVER (PARTITION BY model_id ORDER BY batch) AS was,
-              bool_or(status = 'critical') OVER (PARTITION BY model_id ORDER BY batch) AS struck
-       FROM vr)
-SELECT model_id, batch, status,
-  CASE WHEN status = 'normal' AND was = 'critical' THEN 'critical'
-       WHEN status = 'normal' THEN 'green' ELSE status END AS data_stream,
+ls AS (SELECT *, lag(req) OVER (PARTITION BY model_id ORDER BY batch) AS was,
+              bool_or(req = 'critical') OVER (PARTITION BY model_id ORDER BY batch) AS struck
+       FROM rq)
+SELECT model_id, batch, vr.status,
+  CASE WHEN req = 'green' AND was = 'critical' THEN 'critical' ELSE req END AS data_stream,
   CASE WHEN struck THEN 'critical' ELSE 'green' END AS sdk_intercept,
   CASE WHEN struck THEN 'critical' ELSE 'green' END AS vitals_engine,
   'green' AS report_archive
-FROM ls""")
+FROM ls JOIN vr USING (model_id, batch)""")
 def vitals_record_trace(spark, sf_dir):
     """Records with the stage graph after each batch; shown are the states parsed back from
     the trace document."""
@@ -121,7 +120,7 @@ def psi_rolling15(spark, sf_dir):
     return reporting.psi_rolling(monitored_events(spark, sf_dir).records, "model_id", ["batch"])
 
 
-_SUMMARY = f"""WITH {q.GRADED},
+_SUMMARY = f"""WITH {q.ACCEPTED},
 lt AS (SELECT model_id, batch, avg(round(value, 4)) AS latency_ms FROM li GROUP BY 1, 2),
 pb2 AS (SELECT ge.model_id, ge.batch,
     coalesce(max(value) FILTER (metric = 'gini'), 0) AS gini,
@@ -151,10 +150,10 @@ def vitals_summary(spark, sf_dir):
 
 
 @query("summary_interpretation", f"""{_SUMMARY},
-lo AS (SELECT model_id, status, lag(status) OVER (PARTITION BY model_id ORDER BY batch) AS was,
-              row_number() OVER (PARTITION BY model_id ORDER BY batch DESC) AS rn FROM ov),
-nw AS (SELECT model_id, CASE WHEN status = 'normal' AND was = 'critical' THEN 'critical'
-              WHEN status = 'normal' THEN 'green' ELSE status END AS state FROM lo WHERE rn = 1),
+lo AS (SELECT model_id, req, lag(req) OVER (PARTITION BY model_id ORDER BY batch) AS was,
+              row_number() OVER (PARTITION BY model_id ORDER BY batch DESC) AS rn FROM rq),
+nw AS (SELECT model_id, CASE WHEN req = 'green' AND was = 'critical' THEN 'critical' ELSE req END
+              AS state FROM lo WHERE rn = 1),
 x AS (SELECT * FROM su JOIN nw USING (model_id))
 SELECT model_id, 1::INTEGER AS line, 'Data Validation' AS stage, 'Schema Check' AS metric,
        '0 Errors' AS value, 'All batches valid' AS text FROM x

@@ -7,8 +7,15 @@ EVENTS = """se AS (
   FROM events),
 ba AS (SELECT * FROM se WHERE ts < TIMESTAMP '2024-01-11'),
 pm AS (SELECT model_id, avg(prediction) AS pmean FROM ba GROUP BY 1),
-li AS (SELECT se.*, se.prediction - pm.pmean AS shap FROM se JOIN pm USING (model_id)
-       WHERE ts >= TIMESTAMP '2024-01-11')"""
+l0 AS (SELECT se.*, se.prediction - pm.pmean AS shap FROM se JOIN pm USING (model_id)
+       WHERE ts >= TIMESTAMP '2024-01-11'),
+li AS (SELECT * FROM l0)"""
+
+# Batches with one group, or too many, are rejected before any vital is computed.
+VALID = """li AS (SELECT * FROM l0 WHERE (model_id, batch) IN (
+         SELECT (model_id, batch) FROM l0 GROUP BY model_id, batch
+         HAVING count(DISTINCT event_type) BETWEEN 2 AND 20)),
+fb AS (SELECT DISTINCT model_id, batch FROM l0 EXCEPT SELECT DISTINCT model_id, batch FROM li)"""
 
 LINEITEM = """sl AS (
   SELECT l_orderkey, l_linenumber, l_shipdate AS ts, l_linestatus AS model_id,
@@ -189,7 +196,12 @@ GRADED = f"""{METRICS},
 {persisted()},
 {OVERALL}"""
 
-RECORD = f"""{GRADED},
+# rq: state requests of all batches, the rejected ones included.
+ACCEPTED = GRADED.replace("li AS (SELECT * FROM l0)", VALID) + """,
+rq AS (SELECT model_id, batch, CASE status WHEN 'normal' THEN 'green' ELSE status END AS req FROM ov
+       UNION ALL SELECT model_id, batch, 'critical' FROM fb)"""
+
+RECORD = f"""{ACCEPTED},
 vr AS (SELECT ge.model_id, ge.batch,
     coalesce(max(value) FILTER (metric = 'statistical_parity'), 0.85) AS fairness,
     1 - coalesce(max(value) FILTER (metric = 'psi'), 0.08) AS stability,
