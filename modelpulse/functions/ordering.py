@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from modelpulse.functions.storage import settle
@@ -41,37 +41,34 @@ def running_totals(
     cells = [amounts[c].alias(f"_in_{c}") for c in names]
     sliced = settle(into_slices(df.select("*", *cells), keys, order))
 
+    key, rank = ", ".join(f"`{k}`" for k in keys), ", ".join(f"`{c}`" for c in order)
+    earlier = "rows between unbounded preceding and 1 preceding"
     per_slice = sliced.groupBy(*keys, "_slice").agg(
-        *[F.sum(f"_in_{c}").alias(f"_sum_{c}") for c in names]
+        *[F.expr(f"sum(`_in_{c}`) as `_sum_{c}`") for c in names]
     )
-    before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    carried = per_slice.select(
-        *[F.col(k).alias(f"_k_{k}") for k in keys],
-        F.col("_slice").alias("_k_slice"),
-        *[F.sum(f"_sum_{c}").over(before).alias(f"_carry_{c}") for c in names],
-    ).where(F.col(f"_carry_{names[0]}").isNotNull())
-
-    inside = (
-        Window.partitionBy(*keys, "_slice")
-        .orderBy(*order)
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    local = sliced.select(
-        *df.columns,
+    carried = per_slice.selectExpr(
+        *[f"`{k}` as `_k_{k}`" for k in keys],
+        "_slice as _k_slice",
+        *[
+            f"sum(`_sum_{c}`) over (partition by {key} order by _slice {earlier}) as `_carry_{c}`"
+            for c in names
+        ],
+    ).where(f"`_carry_{names[0]}` is not null")
+    local = sliced.selectExpr(
+        *[f"`{c}`" for c in df.columns],
         "_slice",
-        *[F.sum(f"_in_{c}").over(inside).alias(f"_here_{c}") for c in names],
+        *[
+            f"sum(`_in_{c}`) over (partition by {key}, _slice order by {rank} {earlier})"
+            f" as `_here_{c}`"
+            for c in names
+        ],
+    )
+    match = " and ".join(["_slice = _k_slice", *[f"`{k}` <=> `_k_{k}`" for k in keys]])
+    joined = local.join(F.broadcast(carried), F.expr(match), "left")
+    return joined.selectExpr(
+        *[f"`{c}`" for c in df.columns],
+        *[f"coalesce(`_here_{c}`, 0) + coalesce(`_carry_{c}`, 0) as `{c}`" for c in names],
     )
-    match = F.col("_slice") == F.col("_k_slice")
-    for k in keys:
-        match = match & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    joined = local.join(F.broadcast(carried), match, "left")
-    totals = [
-        (
-            F.coalesce(F.col(f"_here_{c}"), F.lit(0)) + F.coalesce(F.col(f"_carry_{c}"), F.lit(0))
-        ).alias(c)
-        for c in names
-    ]
-    return joined.select(*df.columns, *totals)
 
 
 def number_rows(
@@ -89,10 +86,10 @@ def overlapped(df: DataFrame, seq: str, back: int, block: int = BLOCK) -> DataFr
     drop them after the window with `own_rows`.
     """
     block = max(block, back)
-    home = F.floor(F.col(seq) / F.lit(block)).cast("bigint")
-    reaches_next = F.pmod(F.col(seq), F.lit(block)) >= block - back
-    blocks = F.when(reaches_next, F.array(home, home + 1)).otherwise(F.array(home))
-    return df.withColumn("_home", home).withColumn("_block", F.explode(blocks))
+    home = f"cast(floor(`{seq}` / {block}) as bigint)"
+    reaches_next = f"pmod(`{seq}`, {block}) >= {block - back}"
+    blocks = f"explode(if({reaches_next}, array({home}, {home} + 1), array({home}))) as _block"
+    return df.selectExpr("*", f"{home} as _home", blocks)
 
 
 def own_rows(df: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from modelpulse.functions.joins import lookup_join
+from modelpulse.functions.joins import BROADCAST_ROWS, lookup_join
 from modelpulse.functions.storage import settle_counted
 from modelpulse.spec import EPSILON, LOG_EPSILON, TOP_FEATURES
 
@@ -29,8 +29,10 @@ def shap_score(
     With an array the sums run over all cells but the entropy is divided by the logarithm
     of the number of rows. A batch without any attribution scores 0.
 
-    Equal values of a batch are counted first, so copies never travel. The entropy needs
-    the batch total, hence two passes: totals are settled and looked up.
+    The entropy needs the batch total, hence two passes: totals are settled and looked up.
+    While they are few they are broadcast and no row is shuffled. Beyond that the equal
+    values of a batch are counted first, so copies do not travel, and the join is salted by
+    the value.
     """
     by = list(by)
     is_array = df.schema[shap].dataType.typeName() == "array"
@@ -50,7 +52,11 @@ def shap_score(
             F.expr(f"coalesce(max(if({given}, _v, null)), 0D) as _peak"),
         )
     )
-    counted = cells.where(f"{given} and _v > 0").groupBy(*by, "_v").agg(F.expr("count(*) as _c"))
+    valued = cells.where(f"{given} and _v > 0")
+    if rows <= BROADCAST_ROWS:
+        counted = valued.withColumn("_c", F.lit(1))
+    else:
+        counted = valued.groupBy(*by, "_v").agg(F.expr("count(*) as _c"))
     sums = totals.where("_total > 0").select(*by, "_total")
     entropy = (
         lookup_join(counted, sums, by, spread_by=["_v"], rows=rows)

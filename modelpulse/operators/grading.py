@@ -108,33 +108,23 @@ def persist_filter(
     if seq is None:
         seq = "_seq"
         graded = number_rows(graded, keys, order, seq)
-    blocks = overlapped(graded, seq, depth)
-    series = [*keys, *([epoch] if epoch else []), "_block"]
-    alarmed = F.when(F.col("raw").isin("warning", "critical"), 1).otherwise(0)
-
-    def alarms_before(n: int) -> Column:
-        frame = Window.partitionBy(*series).orderBy(seq).rowsBetween(-n, -1)
-        return F.coalesce(F.sum(alarmed).over(frame), F.lit(0))
-
-    need = domain_persistence(F.col("domain"))
-    counted = blocks.withColumn("_need", need)
-    levels = sorted({c["persistence"] for c in DOMAINS.values() if c["persistence"] > 0})
-    before = None
-    for n in levels:
-        hit = F.col("_need") == n
-        count = alarms_before(n)
-        before = F.when(hit, count) if before is None else before.when(hit, count)
-    counted = own_rows(counted.withColumn("_before", before))
-    value, mean, std, k = (F.col(c) for c in ("value", "mean", "std", "k"))
-    extreme = ~F.isnan(value) & (value > mean + k * 3 * std)
-    status = (
-        F.when(F.col("raw").isNull(), F.lit(None).cast("string"))
-        .when(~F.col("raw").isin("warning", "critical") | (F.col("_need") == 0), F.col("raw"))
-        .when(extreme, "critical")
-        .when(F.col("_before") < F.col("_need"), "warning")
-        .otherwise("critical")
+    blocks = overlapped(graded, seq, depth).withColumn("_need", domain_persistence(F.col("domain")))
+    series = ", ".join([*keys, *([epoch] if epoch else []), "_block"])
+    alarm = "raw in ('warning', 'critical')"
+    levels = sorted({c["persistence"] for c in DOMAINS.values()} - {0})
+    before = " ".join(
+        f"when _need = {n} then count_if({alarm}) over (partition by {series} order by {seq}"
+        f" rows between {n} preceding and 1 preceding)"
+        for n in levels
     )
-    return counted.select(*columns, status.alias("status"))
+    counted = own_rows(blocks.selectExpr("*", f"case {before} end as _before"))
+    status = f"""
+        case when raw is null then null
+             when not ({alarm}) or _need = 0 then raw
+             when not isnan(value) and value > mean + k * 3 * std then 'critical'
+             when coalesce(_before, 0) < _need then 'warning'
+             else 'critical' end as status"""
+    return counted.selectExpr(*columns, status)
 
 
 def grade(

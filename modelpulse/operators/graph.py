@@ -274,19 +274,48 @@ def heartbeat_timeouts(
     )
 
 
-def heartbeat_gaps(
-    events: DataFrame, order: Sequence[str], timeout_seconds: float
-) -> DataFrame:
+def _busy_slots(events: DataFrame, timeout_seconds: float) -> DataFrame:
+    """First and last event of a node per time slot as long as the timeout.
+
+    Two events of one slot are never further apart than the timeout, so silences show
+    between slots only. A node has at most one row per slot, however many events it sends,
+    and the aggregation is partial before the shuffle.
+    """
+    width = int(timeout_seconds * 1_000_000)
+    slot = F.expr(f"floor(unix_micros(cast(ts as timestamp)) / {width})")
+    slots = events.groupBy("node", slot.alias("_slot")).agg(
+        F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"),
+        F.count(F.lit(1)).alias("events"),
+    )
+    before = F.lag("last_seen").over(Window.partitionBy("node").orderBy("_slot"))
+    silence = F.expr(
+        "unix_micros(cast(first_seen as timestamp)) - unix_micros(cast(_before as timestamp))"
+        f" > {width}"
+    )
+    return slots.withColumn("_before", before).withColumn("_silent", silence)
+
+
+def heartbeat_gaps(events: DataFrame, timeout_seconds: float) -> DataFrame:
     """Every silence longer than the timeout between two events of a node."""
-    blocks = overlapped(number_rows(events, ["node"], order, "_seq"), "_seq", 1)
-    last = F.lag("ts").over(Window.partitionBy("node", "_block").orderBy("_seq"))
-    gaps = own_rows(blocks.withColumn("last_seen", last))
-    silent = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(
-        F.col("last_seen").cast("timestamp")
+    return _busy_slots(events, timeout_seconds).where("_silent").select(
+        "node", F.col("_before").alias("last_seen"), F.col("first_seen").alias("seen_again")
     )
-    return gaps.where(silent > F.lit(int(timeout_seconds * 1_000_000))).select(
-        "node", "last_seen", F.col("ts").alias("seen_again")
+
+
+def activity_periods(events: DataFrame, timeout_seconds: float) -> DataFrame:
+    """Periods of a node without a silence longer than the timeout, with the moment after
+    each at which the silence is too long (one microsecond past the timeout)."""
+    fresh = F.when(F.coalesce("_silent", F.lit(True)), 1).otherwise(0)
+    so_far = Window.partitionBy("node").orderBy("_slot").rowsBetween(Window.unboundedPreceding, 0)
+    numbered = _busy_slots(events, timeout_seconds).withColumn("_no", F.sum(fresh).over(so_far))
+    periods = numbered.groupBy("node", "_no").agg(
+        F.min("first_seen").alias("first_seen"),
+        F.max("last_seen").alias("last_seen"),
+        F.sum("events").alias("events"),
     )
+    late = int(timeout_seconds * 1_000_000) + 1
+    grey = F.expr(f"cast(last_seen as timestamp) + make_dt_interval(0, 0, 0, {late} / 1000000.0BD)")
+    return periods.select("node", "first_seen", "last_seen", "events", grey.alias("grey_at"))
 
 
 # --- trace --------------------------------------------------------------------------------

@@ -23,24 +23,22 @@ def vitals_record(evaluated: DataFrame, by: Sequence[str]) -> DataFrame:
 
     Status and scores come from the same aggregation. Transparency shows the Gini value.
     """
-    metric, value, status = F.col("metric"), F.col("value"), F.col("status")
+    def of(name: str, default: float) -> str:
+        return f"coalesce(max(if(metric = '{name}', value, null)), {default}D)"
 
-    def of(name: str, default: float) -> Column:
-        return F.coalesce(F.max(F.when(metric == name, value)), F.lit(default))
-
-    worst = F.max(F.when(status == "critical", 2).when(status == "warning", 1).otherwise(0))
+    worst = "max(case status when 'critical' then 2 when 'warning' then 1 else 0 end)"
     pivoted = evaluated.groupBy(*by).agg(
-        of(PARITY, DEFAULT_FAIRNESS).alias("fairness"),
-        (1 - of("psi", DEFAULT_PSI)).alias("stability"),
-        of("privacy_score", DEFAULT_PRIVACY).alias("privacy"),
-        of("gini", DEFAULT_GINI).alias("transparency"),
-        worst.alias("_worst"),
+        F.expr(f"{of(PARITY, DEFAULT_FAIRNESS)} as fairness"),
+        F.expr(f"1 - {of('psi', DEFAULT_PSI)} as stability"),
+        F.expr(f"{of('privacy_score', DEFAULT_PRIVACY)} as privacy"),
+        F.expr(f"{of('gini', DEFAULT_GINI)} as transparency"),
+        F.expr(f"{worst} as _worst"),
     )
-    name = F.when(F.col("_worst") == 2, "critical").when(F.col("_worst") == 1, "warning")
-    secure = F.when(F.col("_worst") == 0, SECURITY_NORMAL).otherwise(SECURITY_ALARM)
-    return pivoted.select(
-        *by, "fairness", "stability", secure.alias("security"), "privacy", "transparency",
-        name.otherwise("normal").alias("status"),
+    return pivoted.selectExpr(
+        *by, "fairness", "stability",
+        f"if(_worst = 0, {SECURITY_NORMAL}D, {SECURITY_ALARM}D) as security",
+        "privacy", "transparency",
+        "case _worst when 2 then 'critical' when 1 then 'warning' else 'normal' end as status",
     )
 
 

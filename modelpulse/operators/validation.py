@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from modelpulse.functions.joins import lookup_join
 from modelpulse.functions.scalars import is_numeric, missing
 from modelpulse.spec import DOMAINS, BatchSpec, Protected
 
@@ -164,10 +166,18 @@ def failures(
     )
 
 
-def accepted(df: DataFrame, rejected: DataFrame, by: list[str]) -> DataFrame:
+def accepted(
+    df: DataFrame,
+    rejected: DataFrame,
+    by: Sequence[str],
+    spread_by: Sequence[str] = (),
+    rows: int | None = None,
+) -> DataFrame:
     """Rows of the batches that are not rejected.
 
-    The rejected keys are few rows per batch; the join is left to adaptive execution, which
-    measures their size before it broadcasts them and splits a skewed side otherwise.
+    `rejected` is settled, `rows` its size if known. A short list is broadcast, so that the
+    scored rows stay where they are.
     """
-    return df.join(rejected.select(*by).distinct(), by, "left_anti")
+    return lookup_join(
+        df, rejected.select(*by), by, "left_anti", spread_by=spread_by, rows=rows
+    )

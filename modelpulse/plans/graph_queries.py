@@ -257,10 +257,7 @@ SELECT node, last_seen, seen_again FROM (
          lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS last_seen FROM events)
 WHERE epoch_us(seen_again) - epoch_us(last_seen) > {SILENCE * 1_000_000}""")
 def heartbeat_gaps(spark, sf_dir):
-    events = t.table(spark, sf_dir, "events").selectExpr(
-        "concat('user_', user_id) as node", "ts", "event_id as seq"
-    )
-    return graph.heartbeat_gaps(events, ORDER, SILENCE)
+    return graph.heartbeat_gaps(_user_beats(t.table(spark, sf_dir, "events")), SILENCE)
 
 
 _SESSIONS = f"""g AS (
@@ -284,7 +281,9 @@ def _plain_times(df):
 
 @query("heartbeat_sessions", f"WITH {_SESSIONS} SELECT * FROM o")
 def heartbeat_sessions(spark, sf_dir):
-    return _plain_times(outages(_user_beats(t.table(spark, sf_dir, "events")), SILENCE))
+    return _plain_times(
+        graph.activity_periods(_user_beats(t.table(spark, sf_dir, "events")), SILENCE)
+    )
 
 
 @query("stream_heartbeat", f"""WITH {_SESSIONS}

@@ -107,7 +107,9 @@ def run_batches(
     failed, rejected = settle_counted(
         validation.failures(violations.unionByName(unprofiled), spec, stage, at)
     )
-    valid = live if rejected == 0 else validation.accepted(live, failed, by)
+    valid = live
+    if rejected:
+        valid = validation.accepted(live, failed, by, spec.row_id, rejected)
     evaluated = vitals(valid, summary, profile, spec)
     overall = grading.overall_status(evaluated, by)
     requests = graph.node_requests(overall, failed, by, F.col(spec.model), at)

@@ -6,7 +6,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from modelpulse.operators import graph, reporting
-from modelpulse.streaming.heartbeat import outages
 
 EVENTS = "node string, seq int, req_status string"
 
@@ -148,9 +147,9 @@ def test_heartbeats(spark):
     assert [r.node for r in late.collect()] == ["a"]
     exact = graph.heartbeat_timeouts(nodes, events, F.timestamp_seconds(F.lit(1200)), 600)
     assert exact.count() == 0
-    gaps = graph.heartbeat_gaps(events, ["ts", "seq"], 600).collect()
+    gaps = graph.heartbeat_gaps(events, 600).collect()
     assert len(gaps) == 2 and {g.node for g in gaps} == {"b"}
-    periods = outages(events, 600).groupBy("node").count().collect()
+    periods = graph.activity_periods(events, 600).groupBy("node").count().collect()
     assert {r.node: r["count"] for r in periods} == {"a": 1, "b": 3}
 
 

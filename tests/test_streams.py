@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from modelpulse.operators import batching, grading
+from modelpulse.operators import batching, grading, graph
 from modelpulse.sources.tables import EVENTS_SPEC
 from modelpulse.streaming import batches as st
 from modelpulse.streaming.heartbeat import outages
@@ -91,6 +91,6 @@ def test_stream_outages_equal_batch(spark, tmp_path):
         .option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()
     )
     got = {(r.node, r.last_seen) for r in spark.read.parquet(out).collect()}
-    whole = outages(spark.read.parquet(path).withColumnRenamed("model", "node"), 100)
+    whole = graph.activity_periods(spark.read.parquet(path).withColumnRenamed("model", "node"), 100)
     closed = whole.where(F.col("grey_at") <= F.timestamp_seconds(F.lit(900)))
     assert got == {(r.node, r.last_seen) for r in closed.collect()} and len(got) == 3
