@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from modelpulse.functions.storage import settle
+from modelpulse.functions.storage import settle_rows
 
 BLOCK = 100_000
 
@@ -39,7 +39,7 @@ def running_totals(
     """
     keys, order, names = list(keys), list(order), list(amounts)
     cells = [amounts[c].alias(f"_in_{c}") for c in names]
-    sliced = settle(into_slices(df.select("*", *cells), keys, order))
+    sliced = settle_rows(into_slices(df.select("*", *cells), keys, order))
 
     key, rank = ", ".join(f"`{k}`" for k in keys), ", ".join(f"`{c}`" for c in order)
     earlier = "rows between unbounded preceding and 1 preceding"

@@ -24,11 +24,24 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Compute once into the shared folder and cut the lineage there."""
+    """Compute a small table once and cut the lineage there."""
     shared_root(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def settle_rows(df: DataFrame) -> DataFrame:
+    """The same for a table that grows with the scored rows.
+
+    It is written as files of the shared folder: compressed, unlike a checkpoint, and later
+    steps read only the columns they use. The tables of an application share one folder, to
+    be removed after it.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, "settled")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def settle_counted(df: DataFrame) -> tuple[DataFrame, int]:
     """`settle`, with the number of rows counted on the way instead of by a second job."""
     seen = Observation()
@@ -38,4 +51,5 @@ def settle_counted(df: DataFrame) -> tuple[DataFrame, int]:
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new folder name for a table that one call writes and reads back."""
-    return f"{shared_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    application = f"modelpulse-{spark.sparkContext.applicationId}"
+    return f"{shared_root(spark).rstrip('/')}/{application}/{label}-{uuid.uuid4().hex}"

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from modelpulse.functions.ordering import number_rows, overlapped
-from modelpulse.functions.storage import settle
+from modelpulse.functions.storage import settle, settle_rows
 from modelpulse.spec import BATCH_ROWS, BATCH_TIMEOUT_SECONDS, CAPTURE_TICK_SECONDS, MIN_BATCH_ROWS
 
 CHUNK_BLOCK = 20_000
@@ -291,8 +291,8 @@ def summarize_chunks(
         F.max(F.unix_micros(F.col(ts).cast("timestamp"))).alias("at_us"),
     )
     if dense:
-        return settle(counted.withColumn("chunk_no", F.col("_chunk")))
-    return settle(number_rows(counted, keys, ["_chunk"], "chunk_no"))
+        return settle_rows(counted.withColumn("chunk_no", F.col("_chunk")))
+    return settle_rows(number_rows(counted, keys, ["_chunk"], "chunk_no"))
 
 
 def assign_batches(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from modelpulse.functions.joins import BROADCAST_ROWS, is_small, lookup_join
 from modelpulse.functions.ordering import number_rows, overlapped, own_rows
-from modelpulse.functions.storage import settle, settle_counted
+from modelpulse.functions.storage import settle_counted, settle_rows
 from modelpulse.spec import NODE_STATUSES, STATUS_SCORES
 
 STRONG = 0.5
@@ -213,7 +213,7 @@ def _spread(links: DataFrame, seeds: DataFrame) -> DataFrame:
 def reach(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """Nodes reached from the seeds over any edge, the seeds included."""
     links = edges.select("src", "dst", F.lit(True).alias("strong"), F.lit(ACTIVE).alias("own"))
-    return _spread(settle(links), seeds).select("node")
+    return _spread(settle_rows(links), seeds).select("node")
 
 
 def propagate(
@@ -241,7 +241,7 @@ def propagate(
     else:
         links = lookup_join(links, alarmed, ["dst"], "left", spread_by=["src"], rows=count)
         links = links.withColumn("own", F.expr(f"coalesce(own, {ACTIVE})"))
-    levels = _spread(settle(links), seeds)
+    levels = _spread(settle_rows(links), seeds)
     new = F.expr(f"case level when {CRITICAL} then 'critical' when {WARNING} then 'warning' end")
     raised = levels.select("node", new.alias("_new"))
     after = F.coalesce(F.col("_new"), F.col("status"))

@@ -113,17 +113,28 @@ def _text(value: str) -> str:
 
 
 def check_batches(
-    df: DataFrame, spec: BatchSpec, expected: DataFrame | None = None
+    df: DataFrame,
+    spec: BatchSpec,
+    expected: DataFrame | None = None,
+    profiled: DataFrame | None = None,
 ) -> DataFrame:
     """Violations (keys, rule_no, column, message) of every batch.
 
     Rules on the schema cost no job; all value rules share one aggregation by batch.
     `expected` lists batches that should be there; those without rows are reported empty.
+    `profiled` lists the models with a usable baseline; batches of others are reported last.
     """
     rules = _schema_and_value_rules(df, spec)
     by = spec.by
     aggregates = [r.broken.alias(f"_r{r.rule_no}") for r in rules if r.broken is not None]
     per_batch = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), *aggregates)
+    if profiled is not None:
+        last = _Rule(len(rules) + 1, "", "Baseline distribution missing or not finite.", F.lit(True))
+        rules.append(last)
+        # One row per batch is left here; adaptive execution broadcasts the models if few.
+        known = profiled.select(spec.model, F.lit(True).alias("_known"))
+        flag = F.col("_known").isNull().alias(f"_r{last.rule_no}")
+        per_batch = per_batch.join(known, spec.model, "left").select("*", flag)
     listed = ", ".join(
         f"if({'true' if r.broken is None else f'_r{r.rule_no}'}, named_struct("
         f"'rule_no', {r.rule_no}, 'column', {_text(r.column)}, 'message', {_text(r.message)}), null)"

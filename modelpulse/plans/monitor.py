@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from modelpulse.functions.joins import lookup_join
-from modelpulse.functions.storage import settle, settle_counted
+from modelpulse.functions.storage import settle_counted
 from modelpulse.operators import baseline as base
 from modelpulse.operators import drift as dr
 from modelpulse.operators import fairness, graph, grading, privacy, reporting, validation
@@ -70,23 +70,11 @@ class Run:
     records: DataFrame  # keys, scores, status
 
 
-def profile_failures(
-    batches: DataFrame, profile: DataFrame, spec: BatchSpec
-) -> DataFrame:
-    """Batches whose model has no usable baseline for one of its numerical features."""
-    usable = (
-        profile.where(F.col("usable") & F.col("feature").isin(*spec.numerical))
-        .groupBy(spec.model)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") == len(set(spec.numerical)))
-    )
-    bad = batches.join(settle(usable), spec.model, "left_anti")
-    return bad.select(
-        *spec.by,
-        F.lit(10_000).alias("rule_no"),
-        F.lit("").alias("column"),
-        F.lit("Baseline distribution missing or not finite.").alias("message"),
-    )
+def profiled_models(profile: DataFrame, spec: BatchSpec) -> DataFrame:
+    """Models with a usable baseline for each of their numerical features."""
+    usable = profile.where(F.col("usable") & F.col("feature").isin(*spec.numerical))
+    counted = usable.groupBy(spec.model).agg(F.count(F.lit(1)).alias("_n"))
+    return counted.where(F.col("_n") == len(set(spec.numerical))).select(spec.model)
 
 
 def run_batches(
@@ -101,11 +89,10 @@ def run_batches(
     described = list(dict.fromkeys([*spec.numerical, spec.prediction]))
     profile = dr.baseline_profile(baseline, described, spec.model, row_id=spec.row_id)
     summary = base.summary_from_profile(profile, spec)
-    violations = validation.check_batches(live, spec)
-    unprofiled = profile_failures(live.select(*by).distinct(), profile, spec)
+    violations = validation.check_batches(live, spec, profiled=profiled_models(profile, spec))
     at = F.col(by[-1]).cast("timestamp")
     failed, rejected = settle_counted(
-        validation.failures(violations.unionByName(unprofiled), spec, stage, at)
+        validation.failures(violations, spec, stage, at)
     )
     valid = live
     if rejected:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from modelpulse.functions.ordering import running_totals
-from modelpulse.functions.storage import settle
+from modelpulse.functions.storage import settle_rows
 from modelpulse.operators.batching import accumulate_chunks
 from modelpulse.operators.grading import grade_raw, persist_filter
 from modelpulse.sources.store import append_epoch
@@ -76,7 +76,7 @@ def gather_epoch(rows: DataFrame, epoch_id: int, how: Gathering) -> DataFrame:
         F.lit(how.size).cast("bigint").alias("rows"),
         F.col("clock_us").alias("at_us"),
     )
-    seen = settle(sizes.join(clock.select(*keys), keys, "left_semi").unionByName(clock))
+    seen = settle_rows(sizes.join(clock.select(*keys), keys, "left_semi").unionByName(clock))
     fresh = sizes.join(clock.select(*keys), keys, "left_anti")
     starts = fresh.groupBy(*keys).agg(F.min("at_us").alias("clock_us"))
     first_clock = starts.select(
@@ -85,8 +85,8 @@ def gather_epoch(rows: DataFrame, epoch_id: int, how: Gathering) -> DataFrame:
     )
     series = seen.unionByName(fresh).unionByName(first_clock)
     one = F.lit(1).cast("bigint")
-    numbered = settle(running_totals(series, keys, ["_new", "_chunk"], {"chunk_no": one}))
-    labels = settle(
+    numbered = settle_rows(running_totals(series, keys, ["_new", "_chunk"], {"chunk_no": one}))
+    labels = settle_rows(
         accumulate_chunks(numbered, keys, how.size, how.min_rows, how.timeout_seconds)
         .join(numbered.select(*keys, "chunk_no", "_new", "_chunk", "at_us"), [*keys, "chunk_no"])
     )
@@ -123,7 +123,7 @@ def stream_batches(
     """
 
     def epoch(rows: DataFrame, epoch_id: int) -> None:
-        closed = gather_epoch(settle(rows), epoch_id, how)
+        closed = gather_epoch(settle_rows(rows), epoch_id, how)
         append_epoch(closed, out, epoch_id)
         if then is not None:
             then(rows.sparkSession.read.parquet(f"{out}/epoch={epoch_id}"), epoch_id)
@@ -155,7 +155,7 @@ def grade_epoch(
     tail_path = f"{root}/tail"
     old = _read_epoch(spark, tail_path, epoch_id - 1, graded.schema)
     both = old.withColumn("_new", F.lit(0)).unionByName(graded.withColumn("_new", F.lit(1)))
-    final = settle(persist_filter(both, series, ["_new", order]))
+    final = settle_rows(persist_filter(both, series, ["_new", order]))
     append_epoch(final.where("_new = 1").drop("_new"), f"{root}/evaluated", epoch_id)
     depth = max(c["persistence"] for c in DOMAINS.values())
     newest = Window.partitionBy(*series).orderBy(F.desc("_new"), F.desc(order))

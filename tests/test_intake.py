@@ -165,3 +165,37 @@ def test_store(spark, tmp_path):
     assert {r.model_id: r.s for r in store.latest_per_model(back).collect()} == {"a": 2, "b": 3}
     empty = store.latest_vitals(back.where("s > 9")).collect()
     assert len(empty) == 1 and empty[0].status == "no_data"
+
+
+def test_run_quarantines_bad_batches(spark):
+    """A batch without predictions and a model without a finite baseline are set aside."""
+    from modelpulse.plans.monitor import record_with_trace, run_batches
+
+    schema = "model_id string, batch date, f double, prediction double, g string"
+    day = [__import__("datetime").date(2024, 1, d) for d in range(1, 6)]
+    before = [("m", day[0], float(i), i / 10, "ab"[i % 2]) for i in range(10)]
+    before += [("n", day[0], float("nan"), 0.5, "a"), ("n", day[0], 1.0, 0.5, "b")]
+    live = [("m", day[1], float(i), i / 10, "ab"[i % 2]) for i in range(10)]
+    live += [("m", day[2], 1.0, None, "a"), ("m", day[2], 2.0, 0.1, "b")]
+    live += [("m", day[3], 1.0, 0.2, "a"), ("m", day[3], 2.0, 0.1, "b")]
+    live += [("n", day[1], 1.0, 0.5, "a"), ("n", day[1], 1.0, 0.5, "b")]
+    spec = BatchSpec(
+        numerical=("f",), prediction="prediction", quasi=("g",), protected=Protected("categorical", ("g",))
+    )
+    run = run_batches(spark.createDataFrame(live, schema), spark.createDataFrame(before, schema), spec)
+    failed = {(r.model_id, r.batch): r.failure.message for r in run.failures.collect()}
+    assert failed == {
+        ("m", day[2]): "Prediction column 'prediction' contains null values.",
+        ("n", day[1]): "Baseline distribution missing or not finite.",
+    }
+    assert {(r.model_id, r.batch) for r in run.records.collect()} == {("m", day[1]), ("m", day[3])}
+    assert {r.req_status for r in run.requests.collect() if r.seq.day == 3} == {"critical"}
+    nodes = spark.createDataFrame([("In", "x"), ("Out", "y")], "node string, owner string")
+    edges = spark.createDataFrame([("In", "Out", 0.5)], "src string, dst string, weight double")
+    traced = record_with_trace(run, spec, nodes, edges, "In")
+    last = traced.where(F.col("batch") == F.lit(day[3])).select(
+        F.get_json_object("wdag_trace", "$.Out.status").alias("out"),
+        F.get_json_object("wdag_trace", "$.In.downstream[0]").alias("down"),
+    ).first()
+    # The failed batch struck the stage below, and nothing cleared it since.
+    assert (last.out, last.down) == ("critical", "Out")
