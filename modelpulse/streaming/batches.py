@@ -142,6 +142,7 @@ def grade_epoch(
     spec: BatchSpec,
     root: str,
     epoch_id: int,
+    domain: str | None = None,
 ) -> DataFrame:
     """Grade the batches of one epoch with the statuses stored by earlier ones.
 
@@ -151,7 +152,7 @@ def grade_epoch(
     spark = metrics.sparkSession
     model, order = spec.model, spec.by[-1]
     series = [model, "metric"]
-    graded = grade_raw(metrics, summary, spec.domain, model=model)
+    graded = grade_raw(metrics, summary, domain or spec.domain, model=model)
     tail_path = f"{root}/tail"
     old = _read_epoch(spark, tail_path, epoch_id - 1, graded.schema)
     both = old.withColumn("_new", F.lit(0)).unionByName(graded.withColumn("_new", F.lit(1)))
