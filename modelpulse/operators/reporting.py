@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from modelpulse.functions.ordering import number_rows
 from modelpulse.operators.graph import status_score
 from modelpulse.spec import LATENCY_LIMIT_MS, PARITY
 
@@ -132,6 +131,7 @@ def summary_interpretation(summary: DataFrame, status: Column, model: str = "mod
 
     `status` is the node status of the model.
     """
+    # The wording of the report lines.
     shap_text = F.when(F.col("avg_shap") < 1.0, "Feature importance stable").otherwise(
         "High explainability instability detected"
     )
@@ -199,8 +199,3 @@ def train_test_split(df: DataFrame, row_id: str, test_tenths: int = 2) -> DataFr
     """Repeatable split by row number: the last `test_tenths` residues of ten are 'test'."""
     part = F.pmod(F.col(row_id), F.lit(10)) < 10 - test_tenths
     return df.withColumn("split", F.when(part, "train").otherwise("test"))
-
-
-def ordered_lines(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Number report rows in order without collecting them."""
-    return number_rows(df, keys, order, "line")

@@ -25,7 +25,7 @@ class _Rule:
 
 
 def _schema_and_value_rules(df: DataFrame, spec: BatchSpec) -> list[_Rule]:
-    """The rules in the order in which a batch is checked."""
+    """The rules in the order in which a batch is checked; order and wording are fixed values."""
     have = set(df.columns)
     # A name that occurs twice is reported as such; nothing else can be asked of it.
     single = {c for c in have if df.columns.count(c) == 1}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from modelpulse.functions.storage import scratch_path, settle
-from modelpulse.operators import reporting
+from modelpulse.operators import graph, reporting
 from modelpulse.plans import monitor
 from modelpulse.plans import sql as q
 from modelpulse.plans.registry import query
@@ -31,10 +31,10 @@ def vitals_record(spark, sf_dir):
 
 
 # The stage graph of a service, as a deployment declares it (names only).
-STAGES = [("Data_Stream", "Data Engineer"), ("SDK_Intercept", "Middleware"),
-          ("Vitals_Engine", "Analysis"), ("Report_Archive", "Operations")]
-LINKS = [("Data_Stream", "SDK_Intercept", 1.0), ("SDK_Intercept", "Vitals_Engine", 0.9),
-         ("Vitals_Engine", "Report_Archive", 0.3)]
+STAGES = [("Event_Intake", "ingest"), ("Feature_Join", "features"),
+          ("Scoring_Service", "serving"), ("Report_Archive", "archive")]
+LINKS = [("Event_Intake", "Feature_Join", 1.0), ("Feature_Join", "Scoring_Service", 0.9),
+         ("Scoring_Service", "Report_Archive", 0.3)]
 
 
 @query("vitals_record_trace", f"""WITH {q.RECORD},
@@ -42,9 +42,9 @@ ls AS (SELECT *, lag(req) OVER (PARTITION BY model_id ORDER BY batch) AS was,
               bool_or(req = 'critical') OVER (PARTITION BY model_id ORDER BY batch) AS struck
        FROM rq)
 SELECT model_id, batch, vr.status,
-  CASE WHEN req = 'green' AND was = 'critical' THEN 'critical' ELSE req END AS data_stream,
-  CASE WHEN struck THEN 'critical' ELSE 'green' END AS sdk_intercept,
-  CASE WHEN struck THEN 'critical' ELSE 'green' END AS vitals_engine,
+  CASE WHEN req = 'green' AND was = 'critical' THEN 'critical' ELSE req END AS event_intake,
+  CASE WHEN struck THEN 'critical' ELSE 'green' END AS feature_join,
+  CASE WHEN struck THEN 'critical' ELSE 'green' END AS scoring_service,
   'green' AS report_archive
 FROM ls JOIN vr USING (model_id, batch)""")
 def vitals_record_trace(spark, sf_dir):
@@ -53,7 +53,7 @@ def vitals_record_trace(spark, sf_dir):
     run = monitored_events(spark, sf_dir)
     nodes = spark.createDataFrame(STAGES, "node string, owner string")
     edges = spark.createDataFrame(LINKS, "src string, dst string, weight double")
-    traced = monitor.record_with_trace(run, SHAP_SPEC, nodes, edges, "Data_Stream")
+    traced = monitor.record_with_trace(run, SHAP_SPEC, nodes, edges, "Event_Intake")
     states = [
         F.get_json_object("wdag_trace", f"$.{n}.status").alias(n.lower()) for n, _ in STAGES
     ]
@@ -173,8 +173,6 @@ UNION ALL SELECT model_id, 8, 'Pipeline Health', 'WDAG Status', state,
        CASE state WHEN 'green' THEN 'System stable' WHEN 'warning' THEN 'Moderate risk detected'
             WHEN 'critical' THEN 'High risk detected' ELSE 'Unknown' END FROM x""")
 def summary_interpretation(spark, sf_dir):
-    from modelpulse.operators import graph
-
     run, summary = _summary(spark, sf_dir)
     states = graph.current_status(run.requests, ["seq"])
     joined = summary.join(states.withColumnRenamed("node", "model_id"), "model_id", "left")

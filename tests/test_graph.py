@@ -154,16 +154,16 @@ def test_heartbeats(spark):
 
 
 def test_trace_round_trip(spark):
-    nodes = spark.createDataFrame([("Data_Stream", "x"), ("Model", "y")], "node string, owner string")
-    edges = spark.createDataFrame([("Data_Stream", "Model")], "src string, dst string")
-    status = spark.createDataFrame([("Data_Stream", "critical", '{"psi": {"value": 0.5}}')], "node string, status string, metrics string")
+    nodes = spark.createDataFrame([("Event_Intake", "x"), ("Model", "y")], "node string, owner string")
+    edges = spark.createDataFrame([("Event_Intake", "Model")], "src string, dst string")
+    status = spark.createDataFrame([("Event_Intake", "critical", '{"psi": {"value": 0.5}}')], "node string, status string, metrics string")
     doc = graph.trace_document(nodes, edges, status)
     text = doc.first().trace
     assert '"metrics":{"psi":{"value":0.5}}' in text
     rows = {r.name: (r.label, r.status, r.alert) for r in reporting.trace_nodes(doc).collect()}
-    assert rows == {"Data_Stream": ("Data Stream", "critical", True), "Model": ("Model", "green", False)}
+    assert rows == {"Event_Intake": ("Event Intake", "critical", True), "Model": ("Model", "green", False)}
     edge = reporting.trace_edges(doc).first()
-    assert (edge.id, edge.alert) == ("e-Data_Stream-Model", True)
+    assert (edge.id, edge.alert) == ("e-Event_Intake-Model", True)
     with pytest.raises(ValueError):
         graph.trace_document(nodes, edges, status, limit=1)
 
@@ -174,3 +174,15 @@ def test_requests(spark):
     out = graph.node_requests(overall, failed, ["model_id", "batch"], F.col("model_id"), F.col("batch"))
     rows = {r.seq: (r.req_status, r.system_failure) for r in out.collect()}
     assert rows == {1: ("green", None), 2: ("critical", None), 3: ("critical", '{"message":"crash"}')}
+
+
+def test_requests_of_one_kind_and_latency(spark):
+    nodes = spark.createDataFrame([("a",)], "node string")
+    both = graph.lock_requests(nodes, F.lit(1)).unionByName(graph.reset_requests(nodes, F.lit(2)))
+    out = {r.seq: r.status for r in graph.node_status(both, ["seq"]).collect()}
+    assert out == {1: "locked", 2: "green"}
+    df = spark.createDataFrame([("m", float(i)) for i in range(1, 101)], "m string, ms double")
+    row = reporting.latency_quantiles(df, "ms", ["m"]).first()
+    assert (row.p50, row.p95) == (50.0, 95.0)
+    stats = reporting.latency_stats(df, "ms", ["m"], 90.0).first()
+    assert (stats.records, stats.slow, stats.max_ms, stats.latency_ms) == (100, 10, 100.0, 50.5)
