@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +19,10 @@ from modelpulse.spec import BATCH_ROWS, BATCH_TIMEOUT_SECONDS, CAPTURE_TICK_SECO
 CHUNK_BLOCK = 20_000
 FAN = 4_096
 
+# The functions below that run in tasks travel with them, so executors need no copy of the
+# package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def batch_by_rows(
     df: DataFrame,
