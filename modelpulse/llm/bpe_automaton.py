@@ -18,11 +18,12 @@ which arcs pass is kept in a table, so nearly every step is one lookup.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from modelpulse.llm.common import with_arrow_columns
+from modelpulse.llm.common import Shared, with_arrow_columns
 from modelpulse.llm.pretokens import PreTokenizer, byte_symbols, load
 
 #: Words whose path a worker keeps, and arcs whose passes it keeps; beyond, it starts anew.
@@ -174,13 +175,14 @@ class Automaton:
         return " ".join([labels[i] for i in ids])
 
 
-def compiled(spark: SparkSession, path: str):
+def compiled(spark: SparkSession, path: str) -> Shared:
     """The automaton of a tokenizer file, sent to the executors. Its size is that of the file."""
-    return spark.sparkContext.broadcast(Automaton(load(path)))
+    return Shared(spark, Automaton(load(path)))
 
 
-def encode(df: DataFrame, text: str, automaton, out: str = "ids") -> DataFrame:
+def encode(df: DataFrame, text: str, automaton: Shared, out: str = "ids") -> DataFrame:
     """Add the ids of every text. Null and empty texts have an empty array; rows are kept."""
+
     def work(texts: list[str]) -> list[list]:
         machine = automaton.value
         return [[machine.encode(t) for t in texts]]
@@ -188,9 +190,8 @@ def encode(df: DataFrame, text: str, automaton, out: str = "ids") -> DataFrame:
     return with_arrow_columns(df, text, {out: T.ArrayType(T.IntegerType(), False)}, work)
 
 
-def decode(ids: str, automaton):
-    """Column: the text that the ids stand for; null for null, empty for no ids."""
-    import pandas as pd
+def decode(ids: str, automaton: Shared) -> Column:
+    """The text that the ids stand for; null for null, empty for no ids."""
 
     @F.pandas_udf(T.StringType())
     def labels(batch: pd.Series) -> pd.Series:

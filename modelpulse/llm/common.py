@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator, Sequence
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -83,3 +84,17 @@ def with_arrow_columns(
                 done += len(texts)
 
     return df.mapInArrow(run, schema)
+
+
+class Shared:
+    """An object of bounded size sent to the executors once; a worker process makes it once."""
+
+    def __init__(self, spark: SparkSession, value):
+        self.held = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    @property
+    def value(self):
+        made = getattr(self.held, "made", None)
+        if made is None:
+            made = self.held.made = cloudpickle.loads(self.held.value)
+        return made

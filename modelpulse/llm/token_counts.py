@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from modelpulse.llm.common import with_arrow_columns
+from modelpulse.llm.common import Shared, with_arrow_columns
 from modelpulse.llm.pretokens import PreTokenizer, byte_symbols, load
 
 #: Stretches whose count a worker keeps; beyond, it starts anew.
@@ -133,7 +133,7 @@ def count_tokens(spark: SparkSession, df: DataFrame, text: str, path: str, limit
     Null and empty texts have 0 of either. Columns of these names are replaced; repeated rows
     are counted each.
     """
-    counter = spark.sparkContext.broadcast(Counter(load(path)))
+    counter = Shared(spark, Counter(load(path)))
 
     def work(texts: list[str]) -> list[list]:
         return [counter.value.count(texts)]
