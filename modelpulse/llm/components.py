@@ -1,11 +1,11 @@
-"""Connected components and exact prefixes of an order, both without a large group in one task."""
+"""Connected components of links, without a large group in one task."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from modelpulse.functions.storage import settle_counted, settle_rows
+from modelpulse.functions.storage import settle_rows
 
 
 def components(links: DataFrame, left: str, right: str) -> DataFrame:
@@ -17,9 +17,7 @@ def components(links: DataFrame, left: str, right: str) -> DataFrame:
     Links may repeat, point either way or at their own node.
     """
     pairs = links.select(F.col(left).alias("a"), F.col(right).alias("b")).where("a is not null and b is not null")
-    both = settle_rows(
-        pairs.union(pairs.select("b", "a")).groupBy("a", "b").agg().where("a <> b")
-    )
+    both = settle_rows(pairs.union(pairs.select("b", "a")).where("a <> b").distinct())
     label = settle_rows(both.groupBy("a").agg(F.least("a", F.min("b")).alias("label")))
     while True:
         # The label of a node's label, then the smallest one among the neighbours.

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modelpulse.llm import bpe_automaton, mixing, token_counts
+from modelpulse.llm import bpe_automaton, minhash, mixing, token_counts
 from modelpulse.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,3 +58,9 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = spark.createDataFrame(known, "_source string, source_size bigint, target double")
     joined = taken.join(F.broadcast(table), F.expr("source <=> _source"))
     return joined.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
+
+
+@query("op1_near_duplicates")
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class of every document among texts whose 5-word shingles overlap by 0.8 or more."""
+    return minhash.near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"))
