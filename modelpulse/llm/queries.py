@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modelpulse.llm import bpe_automaton, minhash, mixing, token_counts
+from modelpulse.llm import bpe_automaton, embeddings, minhash, mixing, token_counts
 from modelpulse.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,3 +64,9 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class of every document among texts whose 5-word shingles overlap by 0.8 or more."""
     return minhash.near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op9_near_vectors")
+def op9_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings at a cosine of 0.9."""
+    return embeddings.near_vectors(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
