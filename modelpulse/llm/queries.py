@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modelpulse.llm import bpe_automaton, embeddings, minhash, mixing, token_counts
+from modelpulse.llm import bpe_automaton, embeddings, licenses, line_dedup, minhash, mixing, quality_rules, token_counts
 from modelpulse.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,3 +70,108 @@ def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of all embeddings at a cosine of 0.9."""
     return embeddings.near_vectors(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+LINES_SQL = """
+WITH doc AS (SELECT doc_id, text FROM documents WHERE text IS NOT NULL),
+raw AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS place FROM doc),
+ln AS (SELECT *, len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) AS words FROM raw),
+l AS (SELECT *, row_number() OVER w AS i, sum(words) OVER w AS upto FROM ln WHERE words > 0
+      WINDOW w AS (PARTITION BY doc_id ORDER BY place)),
+fw AS (SELECT a.doc_id, a.i AS s, min(b.i) AS e FROM l a JOIN l b ON a.doc_id = b.doc_id AND b.i >= a.i AND b.i < a.i + 50
+       AND b.upto - a.upto + a.words >= 50 GROUP BY ALL),
+bw AS (SELECT a.doc_id, max(b.i) AS s, a.i AS e FROM l a JOIN l b ON a.doc_id = b.doc_id AND b.i <= a.i AND b.i > a.i - 50
+       AND a.upto - b.upto + b.words >= 50 GROUP BY a.doc_id, a.i),
+win AS (SELECT w.doc_id, s, e, string_agg(line, chr(10) ORDER BY i) AS content
+        FROM (SELECT * FROM fw UNION SELECT * FROM bw) w JOIN l ON l.doc_id = w.doc_id AND l.i BETWEEN s AND e GROUP BY ALL),
+later AS (SELECT *, row_number() OVER (PARTITION BY content ORDER BY doc_id, s) AS no FROM win),
+gone AS (SELECT DISTINCT l.doc_id, l.place FROM later w JOIN l ON l.doc_id = w.doc_id AND l.i BETWEEN s AND e WHERE no > 1),
+kept AS (SELECT r.doc_id, string_agg(r.line, chr(10) ORDER BY r.place) AS text FROM raw r
+         ANTI JOIN gone g ON g.doc_id = r.doc_id AND g.place = r.place GROUP BY r.doc_id),
+n AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text,
+       CASE WHEN d.text IS NULL THEN 0 ELSE len(string_split(d.text, chr(10))) END AS n_lines, coalesce(n.n, 0) AS n_removed
+FROM documents d LEFT JOIN kept k USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
+
+
+@query("op3_line_dedup", LINES_SQL)
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without runs of 50 words or more in whole lines that stand earlier too."""
+    return line_dedup.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def _rules_sql() -> str:
+    checks = []
+    for rule in quality_rules.RULES:
+        held = [f"{rule.count} >= {rule.low!r} * {rule.of}"] if rule.low is not None else []
+        held += [f"{rule.count} <= {rule.high!r} * {rule.of}"] if rule.high is not None else []
+        checks.append(f"({rule.of} = 0 OR ({' AND '.join(held)}))")
+    stop = ", ".join(f"'{w}'" for w in quality_rules.STOP_WORDS)
+    word = "[^\\x20\\x09-\\x0D]+"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{word}') AS words,
+           list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{word}')) AS lines FROM documents),
+w AS (SELECT doc_id, unnest(words) AS w, unnest(range(1, len(words) + 1)) AS i FROM d),
+t AS (SELECT doc_id, i, w || chr(10) || lead(w, 1) OVER o || chr(10) || lead(w, 2) OVER o AS g FROM w
+      WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+r AS (SELECT doc_id, i FROM t WHERE g IS NOT NULL QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+c AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM r, (SELECT unnest([0, 1, 2]) AS k) GROUP BY doc_id),
+m AS (SELECT d.doc_id, len(words)::BIGINT AS n_words,
+        length(array_to_string(words, ''))::BIGINT AS word_chars,
+        length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+        (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words,
+        len(list_filter(words, lambda x: list_contains([{stop}], lower(rtrim(x, '.,;:!?')))))::BIGINT AS n_stop_words,
+        len(list_filter(words, lambda x: upper(x) = x AND lower(x) <> x AND length(x) > 1))::BIGINT AS n_loud_words,
+        len(lines)::BIGINT AS n_lines, 1 AS one,
+        len(list_filter(lines, lambda x: regexp_matches(x, '^[ \\t]*[-*•]')))::BIGINT AS n_bullet_lines,
+        len(list_filter(lines, lambda x: regexp_matches(x, '(\\.\\.\\.|…)[\\x20\\x09-\\x0D]*$')))::BIGINT AS n_ellipsis_lines
+      FROM d LEFT JOIN c ON c.doc_id = d.doc_id),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND {' AND '.join(checks)} AS kept FROM b
+"""
+
+
+@query("op4_quality_rules", _rules_sql())
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ruled = quality_rules.apply_rules(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return ruled.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
+def _licenses_sql() -> str:
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    rows = ", ".join(
+        f"({quoted(name)}, {no}, {quoted(text)})"
+        for name, texts in sorted(licenses.TEMPLATES.items())
+        for no, text in enumerate(texts)
+    )
+    words = lambda x: f"list_filter(regexp_split_to_array(lower({x}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
+    grams = (
+        "CASE WHEN len(words) > 1 THEN list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]) ELSE words END"
+    )
+    return f"""
+WITH tpl(license, template, wording) AS (VALUES {rows}),
+tw AS (SELECT license, template, {words('wording')} AS words FROM tpl),
+tg AS (SELECT license, template, greatest(len(words) - 1, 1) AS size, unnest({grams}) AS gram FROM tw),
+tc AS (SELECT license, template, size, gram, count(*) AS often FROM tg GROUP BY ALL),
+ln AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS place FROM documents),
+lw AS (SELECT doc_id, place, {words('line')} AS words FROM ln),
+lg AS (SELECT doc_id, place, greatest(len(words) - 1, 1) AS n, unnest({grams}) AS gram FROM lw),
+lc AS (SELECT doc_id, place, n, gram, count(*) AS here FROM lg GROUP BY ALL),
+f AS (SELECT doc_id, place, license, template, 2.0::DOUBLE * sum(least(here, often)) / (n + size) AS dice FROM lc JOIN tc USING (gram)
+      GROUP BY doc_id, place, license, template, n, size HAVING 2.0::DOUBLE * sum(least(here, often)) / (n + size) >= {licenses.LEAST}),
+b AS (SELECT doc_id, arg_min(license, {{'d': -dice, 'l': license}}) AS license, max(dice) AS dice, count(DISTINCT place) AS n_notices,
+      list_sort(list(DISTINCT license)) AS licenses FROM f GROUP BY doc_id)
+SELECT d.doc_id, b.license, round(b.dice, 6) AS dice, coalesce(n_notices, 0) AS n_notices, array_to_string(coalesce(licenses, []), ',') AS licenses
+FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL) d LEFT JOIN b USING (doc_id)
+"""
+
+
+@query("op10_license_scan", _licenses_sql())
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence notices in all documents."""
+    found = licenses.scan(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.withColumn("licenses", F.array_join("licenses", ","))
