@@ -43,7 +43,7 @@ RULES = (
     Rule("word_length", "word_chars", "n_words", 2, 15),
     Rule("symbols", "n_symbols", "n_words", None, 0.3),
     Rule("stop_words", "n_stop_words", "n_words", 0.01, None),
-    Rule("repeated_lines", "n_dup_lines", "n_lines", None, 0.3),
+    Rule("repeated_lines", "n_dup_lines", "n_lines", None, 0.5),
     Rule("bullet_lines", "n_bullet_lines", "n_lines", None, 0.9),
     Rule("ellipsis_lines", "n_ellipsis_lines", "n_lines", None, 0.3),
     Rule("loud_words", "n_loud_words", "n_words", None, 0.5),

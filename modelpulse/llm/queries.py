@@ -8,7 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modelpulse.llm import bpe_automaton, embeddings, licenses, line_dedup, minhash, mixing, quality_rules, token_counts
+from modelpulse.llm import (
+    bpe_automaton,
+    embeddings,
+    licenses,
+    line_dedup,
+    minhash,
+    mixing,
+    quality_rules,
+    resampling,
+    token_counts,
+    toxicity,
+)
 from modelpulse.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -175,3 +186,34 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence notices in all documents."""
     found = licenses.scan(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.withColumn("licenses", F.array_join("licenses", ","))
+
+
+@query("op6_toxicity")
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document by a model fitted on labelled documents that aren't held out."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, read(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    scored = toxicity.score(docs, model)
+    return scored.select(
+        "doc_id",
+        toxicity.held_out("doc_id").alias("held_out"),
+        "score",
+        (F.col("score") >= toxicity.PREDICTED_FROM).cast("int").alias("predicted"),
+    )
+
+
+@query("op8_quality_resample")
+def op8_quality_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As large a share of the documents as is labelled good, drawn towards the good ones."""
+    labels = read(spark, sf_dir, "labels").where("quality is not null")
+    good = labels.agg(F.avg(F.col("quality").cast("double"))).first()[0] or 0.0
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return resampling.resample(docs, labels.where("quality = 1").select("doc_id"), good)
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of corpus_pipeline.py over the documents."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
