@@ -21,8 +21,9 @@ def plain(rows, columns):
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
-    assert len(entry.queries()) > 80
+    assert set(entry.QUERIES) == set(entry.ORACLES)
+    assert len(entry.QUERIES) > 80
+    assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
 @pytest.mark.parametrize("name", QUICK)
