@@ -40,7 +40,8 @@ def _windows(lines, step: str, least: int):
 
     return F.filter(
         F.transform(
-            F.sequence(F.lit(1), F.size(lines)),
+            # Counts down to 0 without lines, where no window can begin.
+            F.when(F.size(lines) > 0, F.sequence(F.lit(1), F.size(lines))).otherwise(F.array().cast("array<int>")),
             lambda i: let(
                 length(i),
                 lambda w: F.when(
@@ -95,11 +96,13 @@ def repeated_lines(
         "version",
         F.transform("lines", lambda x: x["place"]).alias("places"),
         F.array_distinct(
-            F.concat(_windows(F.col("lines"), "forward", least), let(F.reverse("lines"), lambda r: _windows(r, "backward", least)))
+            F.concat(let(F.col("lines"), lambda r: _windows(r, "forward", least)), let(F.reverse("lines"), lambda r: _windows(r, "backward", least)))
         ).alias("windows"),
     )
+    # The outer form, as the other adds a filter on the windows that would be worked out once more
+    # below, from the whole text at each line.
     cells = settle_rows(
-        both.select("id", "version", "places", F.explode("windows").alias("w")).select(
+        both.select("id", "version", "places", F.explode_outer("windows").alias("w")).where("w is not null").select(
             "id", "version", "w.*", F.slice("places", F.col("w.start"), F.col("w.n")).alias("covers")
         )
     )

@@ -65,6 +65,13 @@ class Model:
         own = [self._trained(plain[::spread], OWN_BYTES), self._trained(marked, OWN_BYTES)]
         self.dictionaries = [LEAD + common + x for x in own]
         self.tools = None
+        if not toxic or not ordinary:
+            # One score for all: the share of toxic labels, 0 without labels.
+            base = min(max(labels_share or 0.0, 1e-6), 1 - 1e-6)
+            self.centre, self.spread = 0.0, 1.0
+            self.slope = np.append(np.zeros(len(self.features(""))), math.log(base / (1 - base)))
+            self.tools = None
+            return
         features = np.array([self.features(t) for t in [*toxic, *ordinary]])
         wanted = np.repeat([1.0, 0.0], [len(toxic), len(ordinary)])
         self.centre, self.spread = features.mean(axis=0), features.std(axis=0) + 1e-9
@@ -134,7 +141,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     """Fit on at most `sample` labelled documents of either kind, none of them held out.
 
     Null labels and null texts aren't learned from. Without documents of both kinds the model
-    knows no difference.
+    knows no difference and gives every text the share of toxic labels, 0 without labels.
     """
     usable = labels.where(F.col(label).isNotNull() & ~held_out(doc_id)).select(doc_id, F.col(label).cast("int").alias("y"))
     shares = {r["y"]: r["count"] for r in usable.groupBy("y").count().collect()}
