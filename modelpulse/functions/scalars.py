@@ -38,3 +38,9 @@ def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
             for f in df.schema.fields
         ]
     )
+
+
+def zero_one(df: DataFrame, name: str) -> Column:
+    """A 0/1 column as it is, a BOOLEAN one as 0 and 1."""
+    col = F.col(name)
+    return col.cast("int") if df.schema[name].dataType.typeName() == "boolean" else col

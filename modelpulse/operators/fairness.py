@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from modelpulse.functions.joins import lookup_join
 from modelpulse.functions.ordering import into_slices
-from modelpulse.functions.scalars import missing, plain_double
+from modelpulse.functions.scalars import missing, plain_double, zero_one
 from modelpulse.functions.storage import settle_counted
 from modelpulse.spec import PARITY, BatchSpec, SpecError
 
@@ -44,10 +44,10 @@ def parity_one_hot(
     """The same over 0/1 columns: a column's group is its rows with 1; empty columns are left out."""
     by = list(by)
     means = [
-        F.avg(F.when(F.col(c) == 1, F.col(prediction).cast("double"))).alias(f"_g{i}")
+        F.avg(F.when(zero_one(df, c) == 1, F.col(prediction).cast("double"))).alias(f"_g{i}")
         for i, c in enumerate(columns)
     ]
-    members = [F.count_if(F.col(c) == 1).alias(f"_n{i}") for i, c in enumerate(columns)]
+    members = [F.count_if(zero_one(df, c) == 1).alias(f"_n{i}") for i, c in enumerate(columns)]
     per_batch = df.groupBy(*by).agg(*means, *members)
     groups = sum(
         [F.when(F.col(f"_n{i}") > 0, 1).otherwise(0) for i in range(len(columns))], F.lit(0)

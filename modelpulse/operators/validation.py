@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from modelpulse.functions.joins import lookup_join
-from modelpulse.functions.scalars import is_numeric, missing
+from modelpulse.functions.scalars import is_numeric, missing, zero_one
 from modelpulse.spec import DOMAINS, BatchSpec, Protected
 
 MIN_GROUPS, MAX_GROUPS = 2, 20
@@ -98,10 +98,10 @@ def _protected_rules(df: DataFrame, protected: Protected, single: set[str], add)
         if len(columns) < 2:
             add("", "One-hot protected attributes must contain at least two columns.")
         for c in there:
-            strange = F.count_if(~missing(df, c) & ~F.col(c).isin(0, 1)) > 0
+            strange = F.count_if(~missing(df, c) & ~zero_one(df, c).isin(0, 1)) > 0
             add(c, f"One-hot column '{c}' must contain only 0/1 values.", strange)
         if there == columns:
-            filled = [F.when(missing(df, c), 0).otherwise(F.col(c)) for c in columns]
+            filled = [F.when(missing(df, c), 0).otherwise(zero_one(df, c)) for c in columns]
             total = sum(filled[1:], filled[0])
             add("", "Invalid one-hot encoding: each row must belong to exactly one group.",
                 F.count_if(total != 1) > 0)

@@ -55,15 +55,16 @@ def pack_telemetry(
 ) -> DataFrame:
     """Envelopes of at most `size` records in arrival order (keys, batch_no, value).
 
-    df has the columns modelId, timestamp, latency, input and output, the last two as JSON.
+    df has the columns modelId, timestamp, latency, input and output, the last two as JSON;
+    one that is no JSON is left out of its record.
     """
     numbered = number_rows(df, keys, order, "_pos")
     record = F.struct(
         F.col("modelId"),
         F.col("timestamp"),
         F.round("latency", 4).alias("latency"),
-        F.parse_json("input").alias("input"),
-        F.parse_json("output").alias("output"),
+        F.try_parse_json("input").alias("input"),
+        F.try_parse_json("output").alias("output"),
     )
     # The JSON text is built per record: a variant cannot be sorted, its text after the
     # position can.
@@ -74,13 +75,15 @@ def pack_telemetry(
     )
     packed = parts.groupBy(*keys, "batch_no").agg(F.array_sort(F.collect_list("_part")).alias("_p"))
     batch_id = F.concat_ws("-", *[F.col(k).cast("string") for k in keys], F.col("batch_no"))
+    # An object of the id alone, without its frame: the id as JSON text.
+    quoted = F.regexp_extract(F.to_json(F.struct(batch_id.alias("i"))), r'(?s)^\{"i":(.*)\}$', 1)
     payload = F.array_join(F.col("_p.text"), ",")
     return packed.select(
         *keys,
         "batch_no",
         batch_id.alias("batch_id"),
         F.concat(
-            F.lit('{"batchId":"'), batch_id, F.lit('","payload":['), payload, F.lit("]}")
+            F.lit('{"batchId":'), quoted, F.lit(',"payload":['), payload, F.lit("]}")
         ).alias("value"),
     )
 
