@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from modelpulse.llm import (
@@ -15,12 +15,15 @@ from modelpulse.llm import (
     line_dedup,
     minhash,
     mixing,
+    periodic,
+    prefix_trie,
     quality_rules,
     resampling,
+    secret_scan,
     token_counts,
     toxicity,
 )
-from modelpulse.llm.common import read
+from modelpulse.llm.common import let, read, words_of
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -211,6 +214,165 @@ def op8_quality_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(docs, labels.where("quality = 1").select("doc_id"), good)
 
 
+#: Unsigned CRC-32 of the digits of a number, for the checking SQL.
+CRC32_SQL = """list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({0}::VARCHAR, ''), lambda ch: ascii(ch)::BIGINT)),
+  lambda c, b: list_reduce(list_prepend(xor(c, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+    lambda x, z: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384::BIGINT ELSE 0::BIGINT END)))"""
+
+
+def crc32_sql(number: str) -> str:
+    return f"xor({CRC32_SQL.format(number)}, 4294967295::BIGINT)"
+
+
+TRIE_SQL = f"""
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+             row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+           FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT conv_id, list({{'role': role, 'text': text}} ORDER BY pos) AS turns, {crc32_sql('conv_id')} % 6 AS h FROM t GROUP BY conv_id),
+r AS (SELECT o.conv_id, list_concat(coalesce(b.turns, [])[1:o.h], o.turns[o.h + 1:]) AS turns
+      FROM o LEFT JOIN o b ON b.conv_id = o.conv_id - o.conv_id % 100),
+p AS (SELECT conv_id, len(turns) AS total, turns, unnest(range(len(turns) + 1)) AS depth FROM r),
+k AS (SELECT conv_id, total, depth, md5(to_json(turns[1:depth])) AS key,
+             CASE WHEN depth > 0 THEN md5(to_json(turns[1:depth - 1])) END AS up,
+             CASE WHEN depth > 0 THEN length(turns[depth].text) ELSE 0 END AS size FROM p),
+n AS (SELECT depth, key, any_value(up) AS up, any_value(size) AS size, min(conv_id) AS conv_id, count(*) AS n_convs,
+             sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE depth = total), '')) AS ends_sha256
+      FROM k GROUP BY depth, key),
+c AS (SELECT up, count(*) AS n FROM n GROUP BY up),
+m AS (SELECT n.*, coalesce(c.n, 0) AS n_children FROM n LEFT JOIN c ON c.up = n.key),
+s AS (SELECT k.key, sum((m.n_convs - 1) * m.size) AS saved, count(*) FILTER (WHERE m.n_children = 0) AS leaves
+      FROM m JOIN k ON k.conv_id = m.conv_id AND k.depth <= m.depth GROUP BY k.key)
+SELECT m.conv_id, m.depth, u.conv_id AS parent_conv_id, m.n_convs, m.n_children, s.leaves AS n_leaves,
+       s.saved::BIGINT AS saved_tokens, m.ends_sha256
+FROM m JOIN s ON s.key = m.key LEFT JOIN n u ON u.key = m.up
+"""
+
+
+@query("op11_prefix_trie", TRIE_SQL)
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trie of all conversations, rebuilt so that they share the turns they begin with."""
+    turns = prefix_trie.rebuilt_turns(read(spark, sf_dir, "conversations"))
+    return prefix_trie.prefix_trie(turns).drop(*prefix_trie.KEY)
+
+
+def _secrets_sql() -> str:
+    def found(name: str, pattern: str, group: int = 0) -> str:
+        """Matches of a pattern with their places."""
+        quoted = pattern.replace("'", "''")
+        return f"""
+{name}_m AS (SELECT doc_no, doc_id, unnest(regexp_extract_all(text, '{quoted}')) AS m, unnest(regexp_extract_all(text, '{quoted}', {group})) AS body,
+    unnest(list_transform(string_split_regex(text, '{quoted}'), lambda x: length(x))[:-2]) AS gap, unnest(range(len(regexp_extract_all(text, '{quoted}')))) AS i
+  FROM d WHERE regexp_matches(text, '{quoted}')),
+{name} AS (SELECT doc_no, doc_id, body, (sum(gap + length(m)) OVER w - length(m))::BIGINT AS s, (sum(gap + length(m)) OVER w)::BIGINT AS e
+  FROM {name}_m WINDOW w AS (PARTITION BY doc_no ORDER BY i))"""
+
+    weights = ", ".join(str(secret_scan.weight(n)) for n in range(max(c.window for c in secret_scan.CHARSETS) + 1))
+    parts = [found("assign", secret_scan.ASSIGN, 1), found("access", secret_scan.ACCESS), found("hex", secret_scan.HEX)]
+    spans = [
+        f"SELECT doc_no, s, 0 AS k, e, 'assign' AS kind FROM assign WHERE length(body) >= {secret_scan.ASSIGN_LEAST}",
+        "SELECT doc_no, s, 1, e, 'access' FROM access",
+        "SELECT doc_no, s, 2, e, 'hex' FROM hex",
+    ]
+    for no, c in enumerate(secret_scan.CHARSETS):
+        n, w = c.kind, c.window
+        harmless = " OR ".join(f"regexp_matches(body, '{p}')" for p in secret_scan.ALLOWED)
+        parts.append(found(n, f"{c.pattern}{{{w},}}"))
+        parts.append(f"""
+{n}_w AS (SELECT *, unnest(range(length(body) - {w} + 1)) AS f FROM {n} WHERE NOT ({harmless})),
+{n}_c AS (SELECT doc_no, s, f, unnest(string_split(body[f + 1:f + {w}], '')) AS ch FROM {n}_w),
+{n}_n AS (SELECT doc_no, s, f, ch, count(*) AS n FROM {n}_c GROUP BY ALL),
+{n}_h AS (SELECT doc_no, s, f FROM {n}_n GROUP BY ALL HAVING sum([{weights}][n + 1]) <= {secret_scan.most_weight(c)}),
+{n}_g AS (SELECT *, CASE WHEN f - lag(f) OVER (PARTITION BY doc_no, s ORDER BY f) <= {w} THEN 0 ELSE 1 END AS new FROM {n}_h),
+{n}_i AS (SELECT *, sum(new) OVER (PARTITION BY doc_no, s ORDER BY f) AS island FROM {n}_g),
+{n}_s AS (SELECT doc_no, s + min(f) AS s, {3 + no} AS k, s + max(f) + {w} AS e, '{n}' AS kind FROM {n}_i GROUP BY doc_no, s, island)""")
+        spans.append(f"SELECT doc_no, s, k, e, kind FROM {n}_s")
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS doc_no, doc_id, coalesce(text, '') AS text FROM documents),{','.join(parts)},
+a AS ({' UNION ALL '.join(spans)}),
+t AS (SELECT *, kind || ':' || s || ':' || e AS shown FROM a),
+g AS (SELECT doc_no, string_agg(shown, ',' ORDER BY s, k) FILTER (WHERE k < 3) AS base, string_agg(shown, ',' ORDER BY s, k) AS spans,
+        count(*) FILTER (WHERE k = 0) AS n_assign, count(*) FILTER (WHERE k = 1) AS n_access, count(*) FILTER (WHERE k = 2) AS n_hex
+      FROM t GROUP BY doc_no)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g USING (doc_no)
+"""
+
+
+@query("op12_secret_scan", _secrets_sql())
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Credentials in all documents: fixed forms and dense strings."""
+    found = secret_scan.scan(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id",
+        *[secret_scan.count_of(F.col("base_spans"), k).alias(f"n_{k}") for k in secret_scan.BASE_KINDS],
+        F.sha2(secret_scan.listed(F.col("base_spans")), 256).alias("base_sha256"),
+        secret_scan.listed(F.col("spans")).alias("spans"),
+    )
+
+
+RUNS_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS doc_no, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w,
+             {crc32_sql('doc_id')} AS h FROM documents),
+g AS (SELECT *, len(w) AS n, h // 10 AS g FROM d),
+l AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN g % n END AS a FROM g),
+p AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM l),
+x AS (SELECT doc_no, doc_id, n, CASE WHEN a IS NULL THEN w ELSE
+        list_transform(range(n), lambda i: CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % p + 1] END) END AS w FROM p),
+u AS (SELECT doc_no, n, unnest(w) AS word, unnest(range(n)) AS i FROM x),
+e AS (SELECT a.doc_no, b.i - a.i AS q, a.i FROM u a JOIN u b ON a.doc_no = b.doc_no AND a.word = b.word AND b.i > a.i AND 4 * (b.i - a.i) <= a.n),
+s AS (SELECT *, i - row_number() OVER (PARTITION BY doc_no, q ORDER BY i) AS island FROM e),
+m AS (SELECT doc_no, q, min(i) AS s, count(*) + q AS length FROM s GROUP BY doc_no, q, island HAVING count(*) + q >= greatest(6, 4 * q)),
+r AS (SELECT doc_no, s AS start, length, min(q) AS period FROM m GROUP BY doc_no, s, length),
+b AS (SELECT *, row_number() OVER (PARTITION BY doc_no ORDER BY length::DOUBLE / period DESC, start, period) AS rank FROM r),
+t AS (SELECT doc_no, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS listed FROM r GROUP BY doc_no),
+k AS (SELECT doc_no, string_agg(word, ' ' ORDER BY i) AS kept FROM (SELECT u.* FROM u WHERE NOT EXISTS (
+        SELECT 1 FROM r WHERE r.doc_no = u.doc_no AND u.i >= r.start + r.period AND u.i < r.start + r.length)) GROUP BY doc_no)
+SELECT x.doc_id, coalesce(n_runs, 0) AS n_runs, b.start, b.length, b.period, (1000 * b.length) // b.period AS exponent_milli,
+       sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM x LEFT JOIN t USING (doc_no) LEFT JOIN b ON b.doc_no = x.doc_no AND b.rank = 1 LEFT JOIN k ON k.doc_no = x.doc_no
+"""
+
+
+def _with_cycles(doc_id: str, text: str) -> Column:
+    """The text of every tenth document with its end wound round a period; both follow from the id."""
+    h = F.crc32(F.col(doc_id).cast("string").cast("binary"))
+    g = F.floor(h / 10).cast("bigint")
+
+    def wound(words: Column) -> Column:
+        n = F.size(words).cast("bigint")
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8)).cast("bigint")
+        body = lambda start, period: F.transform(
+            F.slice(words, start.cast("int") + 1, F.size(words)),
+            lambda w, i: F.element_at(words, (start + i % period + 1).cast("int")),
+        )
+        return let(
+            F.struct(a.alias("a"), p.alias("p")),
+            lambda s: F.array_join(F.concat(F.slice(words, F.lit(1), s["a"].cast("int")), body(s["a"], s["p"])), " "),
+        )
+
+    cycled = let(words_of(text), lambda words: F.when(F.size(words) > 0, wound(words)).otherwise(F.lit("")))
+    return F.when(h % 10 == 0, cycled).otherwise(F.coalesce(F.col(text), F.lit("")))
+
+
+@query("op13_periodic_runs", RUNS_SQL)
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of all documents, a tenth of them wound round a period."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", _with_cycles("doc_id", "text").alias("text"))
+    found = periodic.periodic_runs(docs)
+    shown = F.transform("runs", lambda r: F.concat_ws(",", *[r[n].cast("string") for n in ("start", "length", "period")]))
+    best = F.col("strongest")
+    return found.select(
+        "doc_id",
+        "n_runs",
+        *[best[n].alias(n) for n in ("start", "length", "period")],
+        F.expr("(1000 * strongest.length) div strongest.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform(shown, lambda x: F.concat(x, F.lit("\n"))), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of corpus_pipeline.py over the documents."""
