@@ -229,7 +229,7 @@ def test_runs_equal_comparing_at_every_distance():
 def test_runs_at_one_border(monkeypatch, few):
     """Both ways to measure periods see all runs that hold the two words at the border."""
     monkeypatch.setattr(periodic, "FEW", few)
-    for words in word_lists(300, 9):
+    for words in word_lists(60, 9):
         w = np.array([int(x[1:]) for x in words])
         for mid in range(1, len(w)):
             found = periodic.runs_at(w, 0, mid, len(w))
