@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -49,6 +49,13 @@ def settle_counted(df: DataFrame) -> tuple[DataFrame, int]:
     return settled, int(seen.get["n"])
 
 
+def settle_observed(df: DataFrame, **seen: Column) -> tuple[DataFrame, dict]:
+    """`settle`, with totals of the rows taken on the way: an aggregate per name."""
+    note = Observation()
+    settled = settle(df.observe(note, *[c.alias(n) for n, c in seen.items()]))
+    return settled, note.get
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new folder name for a table that one call writes and reads back."""
     application = f"modelpulse-{spark.sparkContext.applicationId}"

@@ -152,20 +152,6 @@ def check_graph(
     return out
 
 
-def on_cycle(edges: DataFrame) -> DataFrame:
-    """Nodes on a cycle or between two cycles: what is left after removing, again and again,
-    the edges that start at a node without inputs or end at one without outputs."""
-    left, size = settle_counted(edges.select("src", "dst").distinct())
-    while size:
-        kept = left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
-        kept = kept.join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
-        left, now = settle_counted(kept)
-        if now == size:
-            break
-        size = now
-    return left.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-
-
 # --- spread of failures -------------------------------------------------------------------
 
 

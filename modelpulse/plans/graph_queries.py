@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from modelpulse.functions.ordering import number_rows
 from modelpulse.functions.storage import scratch_path, settle
 from modelpulse.operators import graph, reporting
+from modelpulse.operators.cycles import strong_components
 from modelpulse.plans import sql as q
 from modelpulse.plans.registry import query
 from modelpulse.plans.report_queries import monitored_events
@@ -204,37 +205,34 @@ def inject_failure(spark, sf_dir):
     return graph.inject_failures(status, edges, failed)
 
 
-@query("graph_cycles", """WITH RECURSIVE eg AS (
-  SELECT DISTINCT least(user_id, v) AS src, greatest(user_id, v) AS dst FROM (
-    SELECT user_id, lead(user_id) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS v
-    FROM events WHERE value >= 70) WHERE user_id <> v
-  UNION
-  SELECT DISTINCT user_id, user_id - 1 FROM events WHERE value >= 95 AND user_id > 1),
-rc AS (SELECT src, dst FROM eg UNION SELECT rc.src, eg.dst FROM rc JOIN eg ON rc.dst = eg.src),
-cy AS (SELECT DISTINCT src AS node FROM rc WHERE src = dst)
-SELECT DISTINCT node FROM (
-  SELECT node FROM cy
-  UNION SELECT a.dst FROM rc a JOIN rc b ON a.dst = b.src
-        WHERE a.src IN (SELECT node FROM cy) AND b.dst IN (SELECT node FROM cy))""")
+@query("graph_cycles", """WITH RECURSIVE fo AS (
+  SELECT 'u' || user_id || '_' || event_type || '_' || strftime(ts, '%d') AS u,
+         lead('u' || user_id || '_' || event_type || '_' || strftime(ts, '%d')) OVER w AS v,
+         user_id, lead(user_id) OVER w AS next_id, value
+  FROM events WINDOW w AS (PARTITION BY event_type, strftime(ts, '%d') ORDER BY ts, event_id)),
+eg AS (SELECT DISTINCT CASE WHEN (user_id < next_id) = (value < 95) THEN u ELSE v END AS src,
+                       CASE WHEN (user_id < next_id) = (value < 95) THEN v ELSE u END AS dst
+       FROM fo WHERE v IS NOT NULL),
+rc AS (SELECT src, dst FROM eg UNION SELECT rc.src, eg.dst FROM rc JOIN eg ON rc.dst = eg.src)
+SELECT a.src AS node, min(a.dst) AS component FROM rc a JOIN rc b ON a.src = b.dst AND a.dst = b.src
+GROUP BY 1""")
 def graph_cycles(spark, sf_dir):
-    """Users that follow each other in the event log, mostly upwards; nodes caught in a cycle."""
-    return graph.on_cycle(_follow_edges(t.table(spark, sf_dir, "events")))
+    """Users that follow each other in the events of a type and day, upwards unless the event is
+    large; the nodes on a cycle with the smallest node of their component."""
+    return strong_components(_follow_edges(t.table(spark, sf_dir, "events")))
 
 
 def _follow_edges(events):
-    """Edge between the users of consecutive large events of a type, and some edges back."""
-    large = events.where("value >= 70").select(
-        F.col("event_type").alias("node"), "ts", F.col("event_id").alias("seq"), "user_id"
+    """Edge between the users of consecutive events of a type on one day."""
+    place = F.concat_ws("_", "event_type", F.date_format("ts", "dd"))
+    named = events.select(place.alias("node"), "ts", F.col("event_id").alias("seq"), "user_id", "value")
+    numbered = settle(number_rows(named, ["node"], ORDER, "_seq"))
+    after = numbered.selectExpr("node", "_seq - 1 as _seq", "user_id as next_id")
+    forward = "(user_id < next_id) = (value < 95)"
+    u, v = "concat('u', user_id, '_', node)", "concat('u', next_id, '_', node)"
+    return numbered.join(after, ["node", "_seq"]).selectExpr(
+        f"if({forward}, {u}, {v}) as src", f"if({forward}, {v}, {u}) as dst"
     )
-    numbered = settle(number_rows(large, ["node"], ORDER, "_seq"))
-    after = numbered.selectExpr("node", "_seq - 1 as _seq", "user_id as v")
-    up = numbered.join(after, ["node", "_seq"]).where("user_id <> v").selectExpr(
-        "least(user_id, v) as src", "greatest(user_id, v) as dst"
-    )
-    back = events.where("value >= 95 and user_id > 1").selectExpr(
-        "user_id as src", "user_id - 1 as dst"
-    )
-    return up.unionByName(back).distinct()
 
 
 @query("heartbeat_timeout", """WITH s AS (

@@ -5,7 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from modelpulse.operators import graph, reporting
+from modelpulse.operators import cycles, graph, reporting
+from modelpulse.operators.cycles import strong_components
 
 EVENTS = "node string, seq int, req_status string"
 
@@ -124,8 +125,56 @@ def test_integrity_and_cycles(spark):
     assert found == {
         ("duplicate node", "a"), ("edge endpoint missing", "c"), ("edge endpoint missing", "d"), ("unknown node", "q"),
     }
-    assert {r.node for r in graph.on_cycle(edges).collect()} == {"b", "c"}
-    assert graph.on_cycle(edges.where("src <> 'c'")).count() == 0
+    assert {(r.node, r.component) for r in strong_components(edges).collect()} == {("b", "b"), ("c", "b")}
+    assert strong_components(edges.where("src <> 'c'")).count() == 0
+
+
+def mutual(edges):
+    """Smallest node of all that a node reaches and is reached by."""
+    below = {}
+    for a, b in edges:
+        below.setdefault(a, set()).add(b)
+    reached = {}
+    for start in {x for e in edges for x in e}:
+        seen, todo = set(), list(below.get(start, ()))
+        while todo:
+            x = todo.pop()
+            if x not in seen:
+                seen.add(x)
+                todo += below.get(x, ())
+        reached[start] = seen
+    return {v: min(u for u in r if v in reached[u]) for v, r in reached.items() if v in r}
+
+
+_rng = random.Random(6)
+GRAPHS = {
+    "two cycles and a node between them": [(1, 2), (2, 1), (2, 9), (9, 3), (3, 4), (4, 3)],
+    "joined cycles and a loop": [(0, 1), (1, 2), (2, 0), (2, 3), (3, 4), (4, 2), (7, 7)],
+    "a long chain": [(i, i + 1) for i in range(300)],
+    "a ring beside a chain": [(i, (i + 1) % 70) for i in range(70)] + [(i, i + 1) for i in range(200, 290)],
+    "a chain that closes a cycle": [(1, 2), (2, 1), (2, 100), *[(i, i + 1) for i in range(100, 150)], (150, 1), (120, 400)],
+    "random": [(_rng.randrange(40), _rng.randrange(40)) for _ in range(52)],
+    "random and sparse": [(_rng.randrange(60), _rng.randrange(60)) for _ in range(55)],
+}
+
+
+@pytest.mark.parametrize("name", GRAPHS)
+def test_components_are_what_reaches_each_other(spark, name):
+    edges = [*GRAPHS[name], *GRAPHS[name][:2], (None, 1), (1, None)]
+    found = strong_components(spark.createDataFrame(edges, "src int, dst int")).collect()
+    wanted = mutual(GRAPHS[name])
+    assert {r.node: r.component for r in found} == wanted and len(found) == len(wanted)
+
+
+def test_a_chain_takes_few_rounds(spark, monkeypatch):
+    """Doubling settles a few dozen tables for a chain of a thousand nodes between two cycles."""
+    rounds = []
+    real = cycles.settle_counted
+    monkeypatch.setattr(cycles, "settle_counted", lambda df: rounds.append(1) or real(df))
+    edges = [(-2, -1), (-1, -2), (-1, 0), *[(i, i + 1) for i in range(1_000)], (1_000, 2_000), (2_000, 1_000)]
+    out = strong_components(spark.createDataFrame(edges, "src int, dst int")).collect()
+    assert {(r.node, r.component) for r in out} == {(-2, -2), (-1, -2), (1_000, 1_000), (2_000, 1_000)}
+    assert len(rounds) <= 50
 
 
 def test_invalid_requests(spark):
