@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from modelpulse.functions.joins import lookup_join
@@ -42,21 +42,26 @@ def parity_one_hot(
     df: DataFrame, prediction: str, columns: Sequence[str], by: Sequence[str], name: str = PARITY
 ) -> DataFrame:
     """The same over 0/1 columns: a column's group is its rows with 1; empty columns are left out."""
-    by = list(by)
-    means = [
-        F.avg(F.when(zero_one(df, c) == 1, F.col(prediction).cast("double"))).alias(f"_g{i}")
-        for i, c in enumerate(columns)
-    ]
-    members = [F.count_if(zero_one(df, c) == 1).alias(f"_n{i}") for i, c in enumerate(columns)]
-    per_batch = df.groupBy(*by).agg(*means, *members)
-    groups = sum(
-        [F.when(F.col(f"_n{i}") > 0, 1).otherwise(0) for i in range(len(columns))], F.lit(0)
-    )
-    rates = F.array(*[F.col(f"_g{i}") for i in range(len(columns))])
+    facts = [c.alias(n) for n, c in one_hot_facts(df, prediction, columns).items()]
+    return df.groupBy(*by).agg(*facts).select(*by, one_hot_spread(len(columns)).alias(name))
+
+
+def one_hot_facts(df: DataFrame, prediction: str, columns: Sequence[str]) -> dict[str, Column]:
+    """Aggregates of a batch that its one-hot parity follows from."""
+    facts = {}
+    for i, c in enumerate(columns):
+        member = zero_one(df, c) == 1
+        facts[f"_g{i}"] = F.avg(F.when(member, F.col(prediction).cast("double")))
+        facts[f"_n{i}"] = F.count_if(member)
+    return facts
+
+
+def one_hot_spread(n: int) -> Column:
+    """Parity of `n` columns from their facts."""
+    groups = sum([F.when(F.col(f"_n{i}") > 0, 1).otherwise(0) for i in range(n)], F.lit(0))
+    rates = F.array(*[F.col(f"_g{i}") for i in range(n)])
     spread = F.array_max(rates) - F.array_min(rates)
-    return per_batch.select(
-        *by, F.when(groups < 2, F.lit(0.0)).otherwise(spread).alias(name)
-    )
+    return F.when(groups < 2, F.lit(0.0)).otherwise(spread)
 
 
 def statistical_parity(df: DataFrame, spec: BatchSpec, name: str = PARITY) -> DataFrame:

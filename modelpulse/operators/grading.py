@@ -135,9 +135,14 @@ def grade(
     directions: Mapping[str, str] = DIRECTIONS,
     with_history: bool = True,
     epoch: str | None = None,
+    order: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Graded vitals (keys, metric, value, mean, std, domain, k, raw, status)."""
-    model, order = by[0], list(by[1:])
+    """Graded vitals (keys, metric, value, mean, std, domain, k, raw, status).
+
+    The history of a metric runs in `order`, columns of `metrics` that end with the batch key; by
+    default it is that key alone, which sorts numbered names as text.
+    """
+    model, order = by[0], list(by[1:] if order is None else order)
     graded = grade_raw(metrics, summary, domain, directions, model)
     if not with_history:
         return graded.withColumn("status", F.col("raw"))

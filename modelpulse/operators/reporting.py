@@ -98,10 +98,16 @@ def psi_rolling(
     )
 
 
-def vitals_summary(evaluated: DataFrame, by: Sequence[str], latency: DataFrame | None = None) -> DataFrame:
+def vitals_summary(
+    evaluated: DataFrame,
+    by: Sequence[str],
+    latency: DataFrame | None = None,
+    batches: DataFrame | None = None,
+) -> DataFrame:
     """Averages per model over its batches; a batch without a metric counts 0.
 
-    `latency` has the keys and latency_ms per batch.
+    `latency` has the keys and latency_ms per batch. `batches` lists the keys of all batches, the
+    rejected ones too, whose metrics count 0; without it only graded batches are averaged over.
     """
     metric, value = F.col("metric"), F.col("value")
 
@@ -112,6 +118,10 @@ def vitals_summary(evaluated: DataFrame, by: Sequence[str], latency: DataFrame |
         of("gini").alias("gini"), of("psi").alias("psi"),
         of("privacy_score").alias("privacy"), of("shap_importance").alias("shap"),
     )
+    if batches is not None:
+        per_batch = batches.select(*by).distinct().join(per_batch, list(by), "left").na.fill(
+            0.0, ["gini", "psi", "privacy", "shap"]
+        )
     if latency is None:
         per_batch = per_batch.withColumn("latency_ms", F.lit(0.0))
     else:

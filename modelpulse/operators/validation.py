@@ -124,10 +124,27 @@ def check_batches(
     `expected` lists batches that should be there; those without rows are reported empty.
     `profiled` lists the models with a usable baseline; batches of others are reported last.
     """
+    aggregates = [c.alias(n) for n, c in rule_facts(df, spec).items()]
+    per_batch = df.groupBy(*spec.by).agg(F.count(F.lit(1)).alias("_n"), *aggregates)
+    return violations_of(per_batch, df, spec, expected, profiled)
+
+
+def rule_facts(df: DataFrame, spec: BatchSpec) -> dict[str, Column]:
+    """Aggregates of a batch, one per rule on values: `_r<rule_no>`, true where it is broken."""
+    rules = _schema_and_value_rules(df, spec)
+    return {f"_r{r.rule_no}": r.broken for r in rules if r.broken is not None}
+
+
+def violations_of(
+    per_batch: DataFrame,
+    df: DataFrame,
+    spec: BatchSpec,
+    expected: DataFrame | None = None,
+    profiled: DataFrame | None = None,
+) -> DataFrame:
+    """Violations from the facts of each batch; of `df` only the schema is looked at."""
     rules = _schema_and_value_rules(df, spec)
     by = spec.by
-    aggregates = [r.broken.alias(f"_r{r.rule_no}") for r in rules if r.broken is not None]
-    per_batch = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), *aggregates)
     if profiled is not None:
         last = _Rule(len(rules) + 1, "", "Baseline distribution missing or not finite.", F.lit(True))
         rules.append(last)
@@ -165,7 +182,11 @@ def failures(
 ) -> DataFrame:
     """Rejected batches as failure records (keys, failure STRUCT)."""
     when = F.current_timestamp() if at is None else (F.col(at) if isinstance(at, str) else at)
-    return first_errors(violations, spec).select(
+    errors = first_errors(violations, spec)
+    if isinstance(at, str) and at not in errors.columns:
+        told = violations.groupBy(*spec.by).agg(F.min(at).alias(at))
+        errors = errors.join(told, spec.by)
+    return errors.select(
         *spec.by,
         F.struct(
             F.lit("inference_crash").alias("failure_type"),

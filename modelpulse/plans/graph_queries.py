@@ -6,11 +6,13 @@ from pyspark.sql import functions as F
 
 from modelpulse.functions.ordering import number_rows
 from modelpulse.functions.storage import scratch_path, settle
-from modelpulse.operators import graph, reporting
+from modelpulse.operators import graph, reporting, series
 from modelpulse.operators.cycles import strong_components
+from modelpulse.plans import monitor
 from modelpulse.plans import sql as q
 from modelpulse.plans.registry import query
 from modelpulse.plans.report_queries import monitored_events
+from modelpulse.plans.vital_queries import SHAP_SPEC, shap_split
 from modelpulse.sources import tables as t
 from modelpulse.streaming.heartbeat import outages
 
@@ -19,8 +21,10 @@ SILENCE = 6 * 3600
 
 
 @query("node_request", f"""WITH {q.RECORD}
-SELECT model_id AS node, CAST(batch AS TIMESTAMP) AS seq, req AS req_status FROM rq""")
+SELECT rq.model_id AS node, min(ts) AS seq, any_value(req) AS req_status
+FROM rq JOIN l0 USING (model_id, batch) GROUP BY model_id, batch""")
 def node_request(spark, sf_dir):
+    """Requests of the models' nodes, at the first moment of each batch."""
     run = monitored_events(spark, sf_dir)
     return run.requests.select("node", F.col("seq").cast("timestamp_ntz").alias("seq"), "req_status")
 
@@ -304,6 +308,90 @@ def stream_heartbeat(spark, sf_dir):
     return _plain_times(spark.read.parquet(out))
 
 
+# Statuses one moment after the other, level by level: `ow` has the requests (node, ts, seq, req).
+LEVELS = ("region", "nation", "customer", "order")
+
+
+def _folded() -> str:
+    """fs: every moment of every node; needs ow and eg."""
+    parts = []
+    for no, name in enumerate(LEVELS):
+        own = f"""SELECT node, ts, seq, node AS origin, req AS own, NULL::INTEGER AS passed, req = 'critical' AS visited
+  FROM ow WHERE node LIKE '{name}~_%' ESCAPE '~'"""
+        if no:
+            own += f"""
+  UNION ALL SELECT dst, ts, seq, origin, NULL, CASE WHEN weight < 0.5 THEN NULL WHEN status = 'critical' THEN 3
+       WHEN status = 'warning' THEN 2 END, true FROM f{no - 1} JOIN eg ON src = node WHERE visited"""
+        step = """CASE WHEN own IS NOT NULL THEN own WHEN passed = 3 THEN 'critical' ELSE last END AS last,
+       CASE WHEN own = 'green' AND last = 'critical' THEN 'critical' WHEN own = 'reset' THEN 'green'
+            WHEN own IS NOT NULL THEN own WHEN passed = 3 THEN 'critical'
+            WHEN passed = 2 AND status <> 'critical' THEN 'warning' ELSE status END AS status"""
+        parts.append(f"""r{no} AS ({own}),
+n{no} AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY ts, seq, origin) AS rn FROM r{no}),
+f{no} AS (
+  SELECT node, ts, seq, origin, own, passed, visited, rn, {step}
+  FROM (SELECT *, NULL::VARCHAR AS last, 'green' AS status FROM n{no} WHERE rn = 1)
+  UNION ALL
+  SELECT n.node, n.ts, n.seq, n.origin, n.own, n.passed, n.visited, n.rn,
+         {step.replace("own", "n.own").replace("passed", "n.passed").replace("ELSE last", "ELSE f.last").replace("AND last", "AND f.last").replace("ELSE status", "ELSE f.status").replace("AND status", "AND f.status")}
+  FROM f{no} f JOIN n{no} n ON n.node = f.node AND n.rn = f.rn + 1)""")
+    union = " UNION ALL ".join(f"SELECT * FROM f{no}" for no in range(len(LEVELS)))
+    return ",\n".join(parts) + f""",
+fs AS (SELECT node, ts, seq, origin, own AS request, CASE passed WHEN 3 THEN 'critical' WHEN 2 THEN 'warning' END AS passed,
+              status FROM ({union}) WHERE own IS NOT NULL OR passed IS NOT NULL)"""
+
+
+def _silent(source: str, seconds: int, seq: str) -> str:
+    """Requests for grey after a silence, up to the end of the month."""
+    return f"""SELECT node, ts + INTERVAL {seconds * 1_000_000 + 1} MICROSECOND AS ts, {seq} AS seq, 'grey' AS req
+  FROM (SELECT node, ts, lead(ts) OVER (PARTITION BY node ORDER BY ts) AS next FROM {source})
+  WHERE (next IS NULL OR epoch_us(next) - epoch_us(ts) > {seconds * 1_000_000})
+    AND ts + INTERVAL {seconds * 1_000_000 + 1} MICROSECOND <= TIMESTAMP '2024-01-31'"""
+
+
+@query("status_series", f"""WITH RECURSIVE {q.GRAPH},
+bt AS (SELECT 'customer_' || user_id AS node, ts, event_id AS seq,
+         CASE WHEN value >= 60 THEN 'critical' WHEN value >= 40 THEN 'warning' ELSE 'green' END AS req FROM events),
+ow AS (SELECT * FROM bt
+  UNION ALL SELECT 'nation_' || user_id % 25, ts, event_id,
+         CASE WHEN value >= 200 THEN 'critical' WHEN value >= 100 THEN 'warning' ELSE 'green' END
+       FROM events WHERE event_type = 'error'
+  UNION ALL {_silent("bt", 2 * 86400, "-1")}),
+{_folded()}
+SELECT * FROM fs""")
+def status_series(spark, sf_dir):
+    """Customers ask with every event, nations with every error; customers that send nothing for two
+    days turn grey; what is critical spreads to the orders at that moment."""
+    events = t.table(spark, sf_dir, "events")
+
+    def asked(of, prefix: str, key: str, bands: str):
+        return of.selectExpr(f"concat('{prefix}', {key}) as node", "ts", "event_id as seq", f"{bands} as req_status")
+
+    band = "case when value >= {} then 'critical' when value >= {} then 'warning' else 'green' end"
+    customers = asked(events, "customer_", "user_id", band.format(60, 40))
+    nations = asked(events.where("event_type = 'error'"), "nation_", "user_id % 25", band.format(200, 100))
+    until = F.lit("2024-01-31").cast("timestamp")
+    silent = series.silence_requests(customers, 2 * 86400, until, F.lit(-1).cast("bigint"))
+    requests = customers.unionByName(nations).unionByName(silent)
+    return series.status_series(requests, t.graph_tables(spark, sf_dir)[1])
+
+
+@query("run_pipeline", f"""WITH RECURSIVE {q.RECORD}, {q.GRAPH},
+bt AS (SELECT 'region_' || substr(model_id, 2) AS node, min(ts) AS ts, CAST(batch AS VARCHAR) AS seq, any_value(req) AS req
+       FROM rq JOIN l0 USING (model_id, batch) GROUP BY model_id, batch),
+ow AS (SELECT * FROM bt UNION ALL {_silent("bt", SILENCE, "''")}),
+{_folded().replace("fs AS", "sr AS")}
+SELECT * FROM sr""")
+def run_pipeline(spark, sf_dir):
+    """From raw events to the statuses of the whole graph over time: each model runs a region, its
+    days are batches, and a region without a batch for six hours turns grey."""
+    before, live = shap_split(spark, sf_dir)
+    node = F.concat(F.lit("region_"), F.substring("node", 2, 9))
+    until = F.lit("2024-01-31").cast("timestamp")
+    edges = t.graph_tables(spark, sf_dir)[1]
+    return monitor.run_pipeline(live, before, SHAP_SPEC, edges, node, SILENCE, until)[1]
+
+
 _TRACE = f"""{_SPREAD},
 up AS (SELECT dst AS node, string_agg('"' || src || '"', ',' ORDER BY src) AS l FROM eg GROUP BY 1),
 dn AS (SELECT src AS node, page_no, string_agg('"' || dst || '"', ',' ORDER BY dst) AS l

@@ -121,14 +121,14 @@ def psi_rolling15(spark, sf_dir):
 
 
 _SUMMARY = f"""WITH {q.ACCEPTED},
-lt AS (SELECT model_id, batch, avg(round(value, 4)) AS latency_ms FROM li GROUP BY 1, 2),
-pb2 AS (SELECT ge.model_id, ge.batch,
+lt AS (SELECT model_id, batch, avg(round(value, 4)) AS latency_ms FROM l0 GROUP BY 1, 2),
+pb2 AS (SELECT rq.model_id, rq.batch,
     coalesce(max(value) FILTER (metric = 'gini'), 0) AS gini,
     coalesce(max(value) FILTER (metric = 'psi'), 0) AS psi,
     coalesce(max(value) FILTER (metric = 'privacy_score'), 0) AS privacy,
     coalesce(max(value) FILTER (metric = 'shap_importance'), 0) AS shap,
     any_value(latency_ms) AS latency_ms
-  FROM ge JOIN lt USING (model_id, batch) GROUP BY 1, 2),
+  FROM rq LEFT JOIN ge USING (model_id, batch) JOIN lt USING (model_id, batch) GROUP BY 1, 2),
 su AS (SELECT model_id, count(*) AS batches, avg(gini) AS avg_gini, avg(psi) AS avg_psi,
               avg(privacy) AS avg_privacy, avg(shap) AS avg_shap, avg(latency_ms) AS avg_latency_ms
        FROM pb2 GROUP BY 1)"""
@@ -138,7 +138,7 @@ def _summary(spark, sf_dir):
     before, live = shap_split(spark, sf_dir)
     run = monitor.run_batches(live, before, SHAP_SPEC)
     latency = reporting.latency_stats(live, "value", BY)
-    return run, reporting.vitals_summary(run.evaluated, BY, latency)
+    return run, reporting.vitals_summary(run.evaluated, BY, latency, run.requests)
 
 
 @query("vitals_summary", f"""{_SUMMARY}
