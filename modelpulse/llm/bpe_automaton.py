@@ -190,6 +190,17 @@ def encode(df: DataFrame, text: str, automaton: Shared, out: str = "ids") -> Dat
     return with_arrow_columns(df, text, {out: T.ArrayType(T.IntegerType(), False)}, work)
 
 
+def round_trip(df: DataFrame, text: str, automaton: Shared, out: str = "ids", back: str = "decoded") -> DataFrame:
+    """Add the ids of every text and the text that they decode to, by one pass through Python."""
+
+    def work(texts: list[str]) -> list[list]:
+        machine = automaton.value
+        ids = [machine.encode(t) for t in texts]
+        return [ids, [machine.decode(i) for i in ids]]
+
+    return with_arrow_columns(df, text, {out: T.ArrayType(T.IntegerType(), False), back: T.StringType()}, work)
+
+
 def decode(ids: str, automaton: Shared) -> Column:
     """The text that the ids stand for; null for null, empty for no ids."""
 

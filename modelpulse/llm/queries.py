@@ -47,12 +47,11 @@ def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode every document, decode its ids; digests of both."""
     machine = bpe_automaton.compiled(spark, public_tokenizers.path(BPE_FILE))
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    ids = bpe_automaton.encode(docs, "text", machine).select("doc_id", "ids")
-    return ids.select(
+    return bpe_automaton.round_trip(docs, "text", machine).select(
         "doc_id",
         F.size("ids").cast("bigint").alias("n_tokens"),
         F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
-        F.sha2(bpe_automaton.decode("ids", machine), 256).alias("decoded_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
     )
 
 
