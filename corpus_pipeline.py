@@ -16,8 +16,16 @@ from modelpulse.llm.common import fresh, read
 
 
 def _rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass all quality rules."""
-    return quality_rules.apply_rules(docs).where("kept").select(docs.columns)
+    """Documents that pass all quality rules; a null, empty or short text passes none of them.
+
+    Rows are judged one by one, repeated ones alike. The verdict goes through a row of its own
+    before it filters: a filter on it directly would be worked out below, from copies of all counts.
+    """
+    row = fresh(docs.columns, "judged")
+    whole = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("doc")
+    judged = quality_rules.apply_rules(docs.withColumn(row, whole)).select(F.struct(F.col(row).alias("doc"), "kept").alias("r"))
+    kept = judged.select(F.explode_outer(F.array("r")).alias("r")).where("r.kept")
+    return kept.select(*[F.col(f"r.doc.c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def _lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,10 +55,8 @@ def _mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def _tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every document, and whether they decode to the labels they are."""
     machine = bpe_automaton.compiled(spark, public_tokenizers.path("word_bpe_49k.json"))
-    encoded = bpe_automaton.encode(docs.select("doc_id", "source", "text"), "text", machine)
-    return encoded.select(
-        "doc_id", "source", "ids", F.size("ids").cast("bigint").alias("n_tokens"), bpe_automaton.decode("ids", machine).alias("decoded")
-    )
+    encoded = bpe_automaton.round_trip(docs.select("doc_id", "source", "text"), "text", machine)
+    return encoded.select("doc_id", "source", "ids", F.size("ids").cast("bigint").alias("n_tokens"), "decoded")
 
 
 STAGES = [
