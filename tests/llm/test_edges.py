@@ -56,7 +56,6 @@ def test_tokens(spark, docs, none):
     assert token_counts.count_tokens(spark, none, "text", path).count() == 0
 
 
-@pytest.mark.skip(reason="known open: a text of 20,000 lines does not finish within a minute")
 def test_lines_of_a_very_long_text(docs):
     found = by_id(line_dedup.dedup_lines(docs.where("doc_id = 7")))
     assert found[7]["text"] == LONG
