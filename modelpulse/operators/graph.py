@@ -100,7 +100,11 @@ def status_score(status: Column) -> Column:
 
 
 def latest_edges(edges: DataFrame, seq: str | None = None) -> DataFrame:
-    """One row per (src, dst) with the weight given last; a missing weight is 1."""
+    """One row per (src, dst) with the weight given last in the order of `seq`; a missing weight is 1.
+
+    Rows of a table have no order of their own: without `seq` a repeated edge counts with its
+    largest weight.
+    """
     weight = F.coalesce(F.col("weight"), F.lit(1.0))
     chosen = F.max(weight) if seq is None else F.max_by(weight, F.col(seq))
     return edges.groupBy("src", "dst").agg(chosen.alias("weight"))

@@ -205,7 +205,31 @@ def latency_quantiles(
     return df.groupBy(*by).agg(*marks)
 
 
-def train_test_split(df: DataFrame, row_id: str, test_tenths: int = 2) -> DataFrame:
-    """Repeatable split by row number: the last `test_tenths` residues of ten are 'test'."""
-    part = F.pmod(F.col(row_id), F.lit(10)) < 10 - test_tenths
-    return df.withColumn("split", F.when(part, "train").otherwise("test"))
+def train_test_split(df: DataFrame, row_id: str, test_share: float = 0.2, seed: int = 42) -> DataFrame:
+    """Repeatable split: a row is 'test' if a hash of the seed and its id falls into that share.
+
+    Rows of one id go together, wherever and however often they are read.
+    """
+    digest = F.md5(F.concat_ws(":", F.lit(seed), F.col(row_id).cast("string")))
+    drawn = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")
+    part = drawn < int(test_share * 2**32)
+    return df.withColumn("split", F.when(part, "test").otherwise("train"))
+
+
+def latency_sketches(df: DataFrame, latency: str, by: Sequence[str], name: str = "sketch") -> DataFrame:
+    """A quantile sketch of the latencies per batch, to be stored beside its record."""
+    return df.groupBy(*by).agg(
+        F.count(latency).alias("records"), F.kll_sketch_agg_double(F.col(latency).cast("double")).alias(name)
+    )
+
+
+def quantiles_of_sketches(
+    sketches: DataFrame, by: Sequence[str], points: Sequence[float] = (0.5, 0.95), name: str = "sketch"
+) -> DataFrame:
+    """Quantiles of all batches of a group from their sketches: (by, records, quantile, value)."""
+    merged = sketches.groupBy(*by).agg(F.sum("records").alias("records"), F.kll_merge_agg_double(name).alias("_all"))
+    cells = [
+        F.struct(F.lit(p).alias("quantile"), F.kll_sketch_get_quantile_double("_all", F.lit(p)).alias("value"))
+        for p in points
+    ]
+    return merged.select(*by, "records", F.inline(F.array(*cells)))

@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import dataclasses
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from modelpulse.functions.storage import scratch_path, settle
+from modelpulse.functions.storage import scratch_path, settle, settle_rows
 from modelpulse.operators import batching, validation
+from modelpulse.operators.drift import baseline_profile
+from modelpulse.plans import monitor
 from modelpulse.plans import sql as q
 from modelpulse.plans.registry import query
+from modelpulse.sources import intake
 from modelpulse.sources import tables as t
 from modelpulse.sources import telemetry as tel
 from modelpulse.spec import Protected
@@ -88,6 +93,60 @@ def schema_mismatch(spark, sf_dir):
     return tel.schema_mismatch(rows.withColumn("input", short), 2)
 
 
+_TORN = """ev AS (
+  SELECT 'b' || (event_id // 50) AS batch_id, CAST(event_id % 50 AS INTEGER) AS pos, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k
+  FROM events),
+ju AS (SELECT batch_id, pos, CASE WHEN k < 5 THEN 'modelId missing' WHEN k >= 95 THEN 'timestamp missing or invalid'
+         WHEN k = 50 THEN 'latency is no number' END AS reason FROM ev)"""
+
+
+def torn_envelopes(spark, sf_dir):
+    """Envelopes of fifty events, some records of which are broken; empty ones; and no envelopes at all."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    events = t.table(spark, sf_dir, "events").select("event_id", "event_type", "value", "user_id", "ts", k.alias("k"))
+    stamp = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    record = F.struct(
+        F.when(F.col("k") >= 5, F.concat(F.lit("m"), (F.col("user_id") % 4).cast("string"))).alias("modelId"),
+        F.when(F.col("k") < 95, stamp).otherwise("soon").alias("timestamp"),
+        F.when(F.col("k") != 50, F.round("value", 4).cast("string")).otherwise("fast").alias("latency"),
+        F.struct("event_id", "event_type", "value", "k", "user_id").alias("input"),
+        F.struct((F.col("k") / 100).alias("prediction")).alias("output"),
+    )
+    numbered = events.select(F.concat(F.lit("b"), F.floor(F.col("event_id") / 50)).alias("batchId"), "event_id", F.to_json(record).alias("r"))
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "r"))), lambda x: x["r"]), ",")
+    whole = numbered.groupBy("batchId").agg(listed.alias("body")).selectExpr(
+        """concat('{"batchId":"', batchId, '","payload":[', body, ']}') as value"""
+    )
+    empty = t.table(spark, sf_dir, "nation").selectExpr("""concat('{"batchId":"e', n_nationkey, '","payload":[]}') as value""")
+    pages = t.table(spark, sf_dir, "pages").select(F.col("html").alias("value"))
+    return whole.unionByName(empty).unionByName(pages)
+
+
+@query("telemetry_quarantine", f"""WITH {_TORN}
+SELECT batch_id, pos, reason FROM ju WHERE reason IS NOT NULL
+UNION ALL SELECT 'e' || n_nationkey, NULL, 'payload empty' FROM nation
+UNION ALL SELECT NULL, NULL, 'no JSON object' FROM pages""")
+def telemetry_quarantine(spark, sf_dir):
+    """Why records and envelopes were set aside; their neighbours are used."""
+    return intake.quarantined(torn_envelopes(spark, sf_dir)).drop("text")
+
+
+@query("telemetry_vitals", f"""WITH {_TORN},
+gd AS (SELECT CAST(substr(batch_id, 2) AS BIGINT) * 50 + pos AS good FROM ju WHERE reason IS NULL),
+{q.METRICS.replace("FROM events),", "FROM events JOIN gd ON event_id = good),", 1)}
+SELECT model_id, batch, metric, round(value, 6) AS value FROM mt WHERE metric <> 'shap_importance'""")
+def telemetry_vitals(spark, sf_dir):
+    """From envelopes, broken records and repeats among them, to the vitals of the usable records."""
+    spec = t.EVENTS_SPEC
+    sent = torn_envelopes(spark, sf_dir)
+    twice = sent.unionByName(sent.where(F.xxhash64("value") % 3 == 0))
+    kinds = {"event_id": "bigint", "event_type": "string", "value": "double", "k": "double", "user_id": "bigint", "prediction": "double"}
+    rows = intake.scored(intake.records(twice), spec, kinds).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    rows = settle_rows(rows.withColumn("batch", F.to_date("ts")))
+    profile = baseline_profile(t.baseline_rows(rows), spec.numerical, row_id=spec.row_id)
+    return monitor.vitals_metrics(t.live_rows(rows), profile, spec).where("metric <> 'shap_importance'")
+
+
 # --- batch formation ----------------------------------------------------------------------
 
 
@@ -344,3 +403,39 @@ def quarantine(spark, sf_dir):
         F.count(F.lit(1)).alias("rows"), F.lit(None).cast("string").alias("message")
     )
     return bad.unionByName(good)
+
+
+def _misdescribed(spec) -> dict:
+    """Descriptions of the scored events that are wrong in one way each, and what each is rejected for."""
+    change = dataclasses.replace
+    return {
+        "domain": (change(spec, domain="retail"), "Invalid domain 'retail'."),
+        "categorical": (change(spec, categorical=("color",), features=("value", "k")), "Categorical feature 'color' missing in data."),
+        "overlap": (change(spec, categorical=("k", "event_type")), "Column 'k' cannot be both numerical and categorical."),
+        "numerical": (change(spec, numerical=("value", "event_type"), categorical=()), "Numerical feature 'event_type' must be numeric."),
+        "prediction": (change(spec, prediction="event_type"), "Prediction column 'event_type' must be numeric."),
+        "kind": (change(spec, protected=Protected("ordinal", ("event_type",))), "Protected attribute type must be 'categorical' or 'one_hot'."),
+        "columns": (change(spec, protected=Protected("one_hot", ())), "Protected attribute 'columns' must be a non-empty list."),
+        "two": (change(spec, protected=Protected("categorical", ("event_type", "user_id"))), "Categorical protected attribute must contain exactly one column."),
+        "single": (change(spec, protected=Protected("one_hot", ("event_id",))), "One-hot protected attributes must contain at least two columns."),
+        "duplicate": (spec, "Duplicate columns detected."),
+    }
+
+
+_REASONS = " UNION ALL ".join(
+    f"SELECT '{name}' AS case_name, '{message.replace(chr(39), chr(39) * 2)}' AS message"
+    for name, (_, message) in _misdescribed(t.EVENTS_SPEC).items()
+)
+
+
+@query("validate_descriptions", f"""WITH {q.EVENTS}, rs AS ({_REASONS})
+SELECT case_name, model_id, batch, message FROM (SELECT DISTINCT model_id, batch FROM se), rs""")
+def validate_descriptions(spark, sf_dir):
+    """Rules on the description and the schema: every batch of the events is rejected for each flaw."""
+    rows = t.scored_events(spark, sf_dir)
+    parts = []
+    for name, (spec, message) in _misdescribed(t.EVENTS_SPEC).items():
+        given = rows.select("*", F.col("value").alias("k")) if name == "duplicate" else rows
+        found = validation.check_batches(given, spec).where(F.col("message") == message)
+        parts.append(found.select(F.lit(name).alias("case_name"), "model_id", "batch", "message"))
+    return reduce(DataFrame.unionByName, parts)

@@ -84,6 +84,22 @@ def vitals_append(spark, sf_dir):
     return _stored(spark, sf_dir)
 
 
+@query("vitals_append_once", f"""WITH {q.RECORD}
+SELECT model_id, batch, CAST(batch AS TIMESTAMP) AS time, {_SCORES} FROM vr""")
+def vitals_append_once(spark, sf_dir):
+    """Two runs, each of them done twice, taken into one; an aborted run leaves nothing."""
+    path = scratch_path(spark, "vitals-once")
+    timed = settle(monitored_events(spark, sf_dir).records).withColumn("time", F.col("batch").cast("timestamp_ntz"))
+    for _ in range(2):
+        store.append_once(timed.where("batch < date'2024-01-20'"), path, "first")
+        store.append_once(timed.where("batch >= date'2024-01-20'"), path, "second")
+    # Written, but never committed.
+    timed.withColumn("date", F.col("batch")).write.partitionBy("date").parquet(f"{path}/data/run=aborted")
+    store.compact(spark, path, "month")
+    store.remove_replaced(spark, path)
+    return store.read_committed(spark, path)
+
+
 @query("vitals_latest", f"""WITH {q.RECORD}
 SELECT model_id, batch, CAST(batch AS TIMESTAMP) AS time, {_SCORES}
 FROM vr ORDER BY batch DESC, model_id DESC LIMIT 1""")
@@ -188,9 +204,23 @@ def latency_stats(spark, sf_dir):
     return reporting.latency_stats(t.scored_events(spark, sf_dir), "value", BY, 60.0)
 
 
-@query("train_test_split", f"""WITH {q.EVENTS}
-SELECT model_id, CASE WHEN event_id % 10 < 8 THEN 'train' ELSE 'test' END AS split,
-       count(*) AS rows, round(avg(prediction), 6) AS mean FROM se GROUP BY 1, 2""")
+@query("latency_quantiles", f"""WITH {q.EVENTS}
+SELECT model_id, count(*) AS records, unnest([0.5::DOUBLE, 0.95]) AS quantile, true AS near FROM se GROUP BY model_id""")
+def latency_quantiles(spark, sf_dir):
+    """Median and 95 % point of a model from the sketches of its days, held against the exact ranks:
+    the share of latencies up to the value found is within 2 % of the one asked for."""
+    rows = t.scored_events(spark, sf_dir)
+    found = settle(reporting.quantiles_of_sketches(reporting.latency_sketches(rows, "value", BY), ["model_id"]))
+    ranked = rows.select("model_id", F.col("value").alias("x")).join(F.broadcast(found), "model_id")
+    share = F.avg((F.col("x") <= F.col("value")).cast("double"))
+    ranks = ranked.groupBy("model_id", "records", "quantile").agg(share.alias("share"))
+    return ranks.select("model_id", "records", "quantile", (F.abs(F.col("share") - F.col("quantile")) < 0.02).alias("near"))
+
+
+@query("train_test_split", f"""WITH {q.EVENTS},
+sp AS (SELECT *, CASE WHEN CAST('0x' || substr(md5('42:' || event_id), 1, 8) AS BIGINT) < 858993459 THEN 'test'
+                      ELSE 'train' END AS split FROM se)
+SELECT model_id, split, count(*) AS rows, round(avg(prediction), 6) AS mean FROM sp GROUP BY 1, 2""")
 def train_test_split(spark, sf_dir):
     split = reporting.train_test_split(t.scored_events(spark, sf_dir), "event_id")
     return split.groupBy("model_id", "split").agg(
