@@ -161,6 +161,8 @@ def check_graph(
 
 ACTIVE, WARNING, CRITICAL = 1, 2, 3
 HUB_SALTS = 32
+#: Tables of earlier rounds that a round looks into; then they are made one, so plans don't grow.
+STATE_TABLES = 8
 
 
 def _follow(links: DataFrame, frontier: DataFrame, size: int) -> DataFrame:
@@ -187,7 +189,7 @@ def _spread(links: DataFrame, seeds: DataFrame) -> DataFrame:
     rounds is the depth of the graph.
     """
     frontier, size = settle_counted(seeds.select("node", F.lit(CRITICAL).alias("level")).distinct())
-    found = frontier
+    found, tables = frontier, 1
     given = F.expr(f"greatest(if(strong, level, {ACTIVE}), own) as level")
     while size:
         reached = _follow(links, frontier, size).select(F.col("dst").alias("node"), given)
@@ -196,7 +198,9 @@ def _spread(links: DataFrame, seeds: DataFrame) -> DataFrame:
         not_lower = (F.col("n.node") == F.col("o.node")) & (F.col("o.level") >= F.col("n.level"))
         frontier, size = settle_counted(best.join(known, not_lower, "left_anti"))
         if size:
-            found = found.unionByName(frontier)
+            found, tables = found.unionByName(frontier), tables + 1
+        if tables == STATE_TABLES:
+            found, tables = settle_rows(found.groupBy("node").agg(F.max("level").alias("level"))), 1
     return found.groupBy("node").agg(F.max("level").alias("level"))
 
 

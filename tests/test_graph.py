@@ -103,6 +103,14 @@ def test_spread_on_random_graphs_with_cycles(spark, limit, monkeypatch):
     assert spread(spark, list(status.items()), edges, seeds) == walked(status, edges, seeds)
 
 
+def test_spread_down_a_chain_keeps_its_plans_small(spark, monkeypatch):
+    monkeypatch.setattr(graph, "STATE_TABLES", 3)
+    names = [f"n{i:02d}" for i in range(20)]
+    edges = [(a, b, 0.9) for a, b in zip(names, names[1:])] + [("n15", "n02", 0.9)]
+    out = spread(spark, [(n, "green") for n in [*names, "z"]], edges, ["n00"])
+    assert out == {**{n: "critical" for n in names}, "z": "green"}
+
+
 def test_latest_edge_weight_wins(spark):
     e = spark.createDataFrame([("a", "b", 0.9, 1), ("a", "b", 0.1, 2), ("a", "c", None, 1)], "src string, dst string, weight double, seq int")
     out = {(r.src, r.dst): r.weight for r in graph.latest_edges(e, "seq").collect()}
