@@ -8,10 +8,12 @@ the block is wide, and every point of a block lies in one step of it, found by h
 without the point is a process of its own from then on. A text follows only the parts of the
 tree below its counts, and a process ends as soon as it is later than the latest register.
 
-Bands of registers give candidates. Texts of a band form a star around the smallest id, which
-finds large groups with as many pairs as texts; what the stars don't join is compared inside its
-band only where sizes and sketches of the signatures allow a link. The overlap of the multisets
-decides on every pair.
+Bands of registers give candidates: texts that share a bucket. First each bucket is a star around
+the text with the most company in all its buckets, most often the original of the copies, which
+joins large groups at one comparison a text. In a bucket that still holds several groups, the
+texts outside its largest group are compared with all others, in blocks of bounded size: a unit of
+work counts the overlap of two blocks' multisets at once and gives links between groups, never
+pairs of texts. The overlap of the multisets decides on every link.
 """
 
 from __future__ import annotations
@@ -19,9 +21,8 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,9 +33,10 @@ from modelpulse.llm.shingles import mixed, ragged_range, shingle_hashes
 
 WORDS, SIMILARITY = 5, 0.8
 ROWS, BANDS = 5, 26
-#: Bits of a signature's sketch in which two texts of the wanted similarity may differ: of 128
-#: registers about 13 differ in their bit, with a deviation of 3.4; this is 5 deviations on.
-SKETCH_APART = 30
+#: Load of a block: the shingles of its texts and TEXT_LOAD for each text.
+BLOCK_LOAD, TEXT_LOAD = 200_000, 200
+#: Cells of an incidence matrix that a unit of work fills at once.
+CELLS = 4_000_000
 
 
 def exponential(seed: np.ndarray, salt: int) -> np.ndarray:
@@ -113,29 +115,64 @@ def signatures(texts: list[str], width: int = WORDS, registers: int = ROWS * BAN
     return points, sizes
 
 
-def shared_share(left: list[str], right: list[str], width: int = WORDS) -> np.ndarray:
-    """Weighted Jaccard similarity of the shingle multisets of each pair of texts, exactly."""
-    pairs = len(left)
-    shingles, sizes = shingle_hashes([*left, *right], width)
-    owner = np.repeat(np.arange(2 * pairs), sizes)
-    pair, side = owner % max(pairs, 1), owner // max(pairs, 1)
-    order = np.lexsort((side, shingles, pair))
-    shingles, pair, side = shingles[order], pair[order], side[order]
-    if not len(shingles):
-        return np.zeros(pairs)
-    start = np.flatnonzero(np.append(True, (shingles[1:] != shingles[:-1]) | (pair[1:] != pair[:-1])))
-    rights = np.add.reduceat(side, start)
-    lefts = np.diff(np.append(start, len(shingles))) - rights
-    common = np.bincount(pair[start], np.minimum(lefts, rights), pairs)
-    whole = sizes[:pairs] + sizes[pairs:] - common
-    return np.where(whole > 0, common / np.maximum(whole, 1), 0.0)
+def multisets(texts: list[str], width: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of each text, the second and later copies of one as elements of their own, and their number."""
+    shingles, sizes = shingle_hashes(texts, width)
+    owner = np.repeat(np.arange(len(texts)), sizes)
+    order = np.lexsort((shingles, owner))
+    shingles, owner = shingles[order], owner[order]
+    new = np.ones(len(shingles), bool)
+    new[1:] = (shingles[1:] != shingles[:-1]) | (owner[1:] != owner[:-1])
+    first = np.flatnonzero(new)
+    copy = np.arange(len(shingles)) - np.repeat(first, np.diff(np.append(first, len(shingles))))
+    return mixed(shingles + copy.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)), sizes
+
+
+def overlaps(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Weighted Jaccard similarity of each multiset on the left with each on the right, exactly."""
+    (left_items, left_sizes), (right_items, right_sizes) = left, right
+    rows, columns = len(left_sizes), len(right_sizes)
+    both = np.intersect1d(left_items, right_items)
+    cells = []
+    for items, sizes in (left, right):
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        place = np.minimum(np.searchsorted(both, items), max(len(both) - 1, 0))
+        met = both[place] == items if len(both) else np.zeros(len(items), bool)
+        order = np.argsort(place[met], kind="stable")
+        cells.append((owner[met][order], place[met][order]))
+    common = np.zeros((rows, columns))
+    step = max(1, CELLS // (rows + columns))
+    for start in range(0, len(both), step):
+        wide = min(step, len(both) - start)
+        sides = []
+        for (owner, place), n in zip(cells, (rows, columns)):
+            low, high = np.searchsorted(place, (start, start + wide))
+            side = np.zeros((n, wide), np.float32)
+            side[owner[low:high], place[low:high] - start] = 1
+            sides.append(side)
+        common += sides[0] @ sides[1].T
+    return common / np.maximum(left_sizes[:, None] + right_sizes[None, :] - common, 1)
+
+
+def joined_groups(group: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Groups that links between their texts join, each with the smallest group it reaches."""
+    a, b = group[a], group[b]
+    label = np.arange(int(group.max()) + 1)
+    while True:
+        lower = label.copy()
+        np.minimum.at(lower, a, label[b])
+        np.minimum.at(lower, b, label[a])
+        if (lower == label).all():
+            break
+        label = lower
+    moved = np.flatnonzero(label != np.arange(len(label)))
+    return moved, label[moved]
 
 
 def sketched(texts: DataFrame, key: str, text: str, width: int, rows: int, bands: int) -> DataFrame:
-    """(key, n shingles, one hash per band, two words of sketch bits) of every text with words."""
+    """(key, n shingles, one hash per band) of every text with words."""
     schema = T.StructType(
         [texts.schema[key], T.StructField("n", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType(), False))]
-        + [T.StructField(c, T.LongType()) for c in ("bits0", "bits1")]
     )
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,41 +182,134 @@ def sketched(texts: DataFrame, key: str, text: str, width: int, rows: int, bands
             for start, held in text_chunks(batch.column(1)):
                 points, sizes = signatures(held, width, rows * bands)
                 banded = mixed((points.reshape(len(held), bands, rows) * factor).sum(axis=2, dtype=np.uint64))
-                bits = (mixed(points[:, :128]) >> np.uint64(63)).astype(np.uint8)
-                packed = np.packbits(bits, axis=1).copy().view(">u8").astype(np.int64, casting="unsafe")
                 found = np.flatnonzero(sizes > 0)
                 lists = pa.ListArray.from_arrays(
                     pa.array(np.arange(len(found) + 1, dtype=np.int32) * bands),
                     pa.array(banded[found].astype(np.int64).reshape(-1)),
                 )
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        keys.slice(start, len(held)).take(pa.array(found)),
-                        pa.array(sizes[found]), lists, pa.array(packed[found, 0]), pa.array(packed[found, 1]),
-                    ],
-                    names=schema.names,
+                    [keys.slice(start, len(held)).take(pa.array(found)), pa.array(sizes[found]), lists], names=schema.names
                 )
 
     return texts.select(key, text).mapInArrow(run, schema)
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, key: str, text: str, width: int, least: float) -> DataFrame:
-    """The pairs (a, b) whose multisets overlap enough."""
+#: Columns that name a unit of work, and the parts a text plays in one.
+UNIT = ["bucket", "low", "high"]
+LEFT, RIGHT, BOTH = 0, 1, 2
+
+
+def units_of(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.Table, list[int]]]:
+    """Rows sorted by unit as tables of whole units, with the edges of these."""
+    held: pa.Table | None = None
+    for batch in batches:
+        for start in range(0, batch.num_rows, 1_000):
+            part = pa.Table.from_batches([batch.slice(start, 1_000)])
+            held = part if held is None else pa.concat_tables([held, part])
+            marks = np.stack([held.column(c).to_numpy() for c in UNIT])
+            cuts = np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(axis=0)) + 1
+            if len(cuts):
+                yield held.slice(0, cuts[-1]), [0, *cuts.tolist()]
+                held = held.slice(cuts[-1])
+    if held is not None and held.num_rows:
+        yield held, [0, held.num_rows]
+
+
+def linked(units: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
+    """(a, b) of groups that some texts of a unit link.
+
+    `units` has the columns of UNIT, the id and group g of a text, and its part: the left ones
+    are compared with the right ones of their unit, those of both also among themselves.
+    """
+    schema = T.StructType([T.StructField(c, units.schema["g"].dataType) for c in ("a", "b")])
+    work = units.join(texts, "id").select(*UNIT, "part", "g", "t").repartition(*UNIT).sortWithinPartitions(*UNIT)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, edges in units_of(batches):
+            parts = table.column("part").to_numpy()
+            names = table.column("g").combine_chunks().dictionary_encode()
+            codes = names.indices.to_numpy()
+            for start, end in zip(edges[:-1], edges[1:]):
+                part = parts[start:end]
+                left, right = np.flatnonzero(part != RIGHT), np.flatnonzero(part != LEFT)
+                known, group = np.unique(codes[start:end], return_inverse=True)
+                if not len(left) or not len(right) or len(known) < 2:
+                    continue
+                items, sizes = multisets(table.column("t").slice(start, end - start).to_pylist(), width)
+                whole = np.split(items, np.cumsum(sizes)[:-1])
+                chosen = [(np.concatenate([whole[i] for i in at]), sizes[at]) for at in (left, right)]
+                a, b = np.nonzero(overlaps(*chosen) >= least)
+                a, b = left[a], right[b]
+                apart = group[a] != group[b]
+                moved, label = joined_groups(group, a[apart], b[apart])
+                if len(moved):
+                    yield pa.RecordBatch.from_arrays(
+                        [names.dictionary.take(pa.array(known[x])) for x in (moved, label)], names=["a", "b"]
+                    )
+
+    return work.mapInArrow(run, schema)
+
+
+def blocks_for(load: Column, widest: Column) -> Column:
+    """Blocks that texts of this load make; a block holds a few of the longest text at least."""
+    return F.greatest(F.lit(1), F.ceil(load / F.greatest(F.lit(BLOCK_LOAD), 4 * widest))).cast("bigint")
+
+
+def star_units(entries: DataFrame) -> DataFrame:
+    """Units that compare the texts of each bucket with its head."""
+    company = entries.groupBy("id").agg(F.sum("size").alias("company"))
+    heads = entries.join(company, "id").groupBy("band", "value").agg(F.max(F.struct("company", "id")).getField("id").alias("head"))
+    stars = settle_rows(
+        entries.join(heads, ["band", "value"]).where("id <> head").select("head", "id", "load").distinct()
+    )
+    split = stars.groupBy("head").agg(blocks_for(F.sum("load"), F.max("load")).alias("blocks"))
+    # Only a head of very many texts has more than one block.
+    members = stars.join(split.where("blocks > 1"), "head", "left").select(
+        F.xxhash64("head").alias("bucket"),
+        F.lit(0).cast("bigint").alias("low"),
+        F.pmod(F.xxhash64("id", F.lit(3)), F.coalesce("blocks", F.lit(1))).alias("high"),
+        F.lit(RIGHT).alias("part"), "id", F.col("id").alias("g"),
+    )
+    middles = split.select(
+        F.xxhash64("head").alias("bucket"),
+        F.lit(0).cast("bigint").alias("low"),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("high"),
+        F.lit(LEFT).alias("part"), F.col("head").alias("id"), F.col("head").alias("g"),
+    )
+    return members.union(middles)
 
-    @F.pandas_udf(T.DoubleType())
-    def share(left: pd.Series, right: pd.Series) -> pd.Series:
-        out, start, size = [], 0, 0
-        for i in range(len(left)):
-            size += len(left.iat[i]) + len(right.iat[i])
-            if size > 2_000_000 or i == len(left) - 1:
-                out.append(shared_share(list(left.iloc[start : i + 1]), list(right.iloc[start : i + 1]), width))
-                start, size = i + 1, 0
-        return pd.Series(np.concatenate(out) if out else np.zeros(0))
 
-    own = texts.select(F.col(key).alias("_k"), F.col(text).alias("_t"))
-    with_left = pairs.join(own, F.col("a") == F.col("_k")).select("a", "b", F.col("_t").alias("_ta"))
-    with_both = with_left.join(own, F.col("b") == F.col("_k")).select("a", "b", "_ta", F.col("_t").alias("_tb"))
-    return with_both.withColumn("_share", share("_ta", "_tb")).where(F.col("_share") >= least).select("a", "b")
+def open_units(entries: DataFrame, groups: DataFrame) -> DataFrame:
+    """Units that compare the texts outside the largest group of a bucket with all others in it."""
+    placed = entries.join(groups, F.col("id") == F.col("node"), "left").select(
+        "band", "value", "id", "load", F.coalesce("component", "id").alias("g")
+    )
+    tally = placed.groupBy("band", "value", "g").agg(F.sum("load").alias("load"), F.max("load").alias("widest"))
+    split = tally.groupBy("band", "value").agg(
+        F.max(F.struct("load", "g")).alias("main"), F.sum("load").alias("load"), F.max("widest").alias("widest"), F.count(F.lit(1)).alias("groups")
+    ).where("groups > 1").select(
+        "band", "value", F.col("main.g").alias("main"),
+        blocks_for(F.col("main.load"), F.col("widest")).alias("mains"),
+        blocks_for(F.col("load") - F.col("main.load"), F.col("widest")).alias("rests"),
+    )
+    dealt = settle_rows(placed.join(split, ["band", "value"]).select(
+        F.xxhash64("band", "value").alias("bucket"), "id", "g", (F.col("g") == F.col("main")).alias("inside"), "mains", "rests",
+        F.pmod(F.xxhash64("id", F.lit(5)), F.when(F.col("g") == F.col("main"), F.col("mains")).otherwise(F.col("rests"))).alias("own"),
+    ))
+    # A unit is a block of the rest (low) and one of the main group (high) or, behind these, of the rest.
+    inside = dealt.where("inside").select(
+        "bucket", F.explode(F.expr("sequence(0L, rests - 1)")).alias("low"), F.col("own").alias("high"), F.lit(RIGHT).alias("part"), "id", "g"
+    )
+    outside = dealt.where("not inside").select(
+        "bucket", "id", "g", "mains", "own", F.explode(F.expr("sequence(0L, mains + rests - 1)")).alias("x")
+    ).where("x <> mains + own").select(
+        "bucket",
+        F.expr("if(x < mains, own, least(own, x - mains))").alias("low"),
+        F.expr("if(x < mains, x, mains + greatest(own, x - mains))").alias("high"),
+        F.expr(f"case when x = 0 then {BOTH} when x < mains or own < x - mains then {LEFT} else {RIGHT} end").alias("part"),
+        "id", "g",
+    )
+    return inside.union(outside)
 
 
 def near_duplicates(
@@ -195,9 +325,11 @@ def near_duplicates(
 
     Texts of the same words, whatever the blanks, are one text, text_id its smallest id. Two texts
     are linked if the multisets of their shingles overlap by `least` of their union; a link is
-    found with probability 1 - (1 - s^rows)^bands, 0.99998 at the least similarity. component_id
+    found with probability 1 - (1 - s^rows)^bands, 0.99998 at the least similarity, and every
+    pair that shares a bucket is either compared or in one group already. component_id
     is the smallest id that links reach, `kept` marks it. A null, empty or blank text links with
-    nothing. An id that repeats keeps the row of its smallest text; rows of null id go.
+    nothing. An id that repeats keeps the row of its smallest digest, a text without words before
+    others; rows of null id go. Other columns don't matter; an empty table gives an empty one.
     """
     key = F.trim(F.regexp_replace(F.col(text), r"[\x20\x09-\x0D]+", " "))
     named = docs.select(F.col(doc_id).alias("id"), key.alias("t")).where("id is not null")
@@ -205,45 +337,27 @@ def near_duplicates(
     marked = settle_rows(
         named.withColumn("digest", digest).groupBy("id").agg(F.min(F.struct("digest")).getField("digest").alias("digest"))
     )
-    classes = marked.where("digest is not null").groupBy("digest").agg(F.min("id").alias("text_id"))
-    member = settle_rows(
-        marked.join(classes, "digest", "left").select("id", F.coalesce("text_id", "id").alias("text_id"), "digest")
-    )
-    wanted = member.where("id = text_id and digest is not null").select(F.col("id").alias("rep"), F.col("digest").alias("d"))
+    classes = settle_rows(marked.where("digest is not null").groupBy("digest").agg(F.min("id").alias("text_id")))
     texts = settle_rows(
-        named.where("t <> ''").withColumn("d2", F.sha2("t", 256))
-        .join(wanted, (F.col("id") == F.col("rep")) & (F.col("d2") == F.col("d")))
+        named.where("t <> ''").withColumn("d", F.sha2("t", 256))
+        .join(classes, (F.col("id") == F.col("text_id")) & (F.col("d") == F.col("digest")))
         .select("id", "t").dropDuplicates(["id"])
     )
     sketch = settle_rows(sketched(texts, "id", "t", width, rows, bands))
     # One row for each text and band with company in it.
-    banded = sketch.select("id", "n", "bits0", "bits1", F.posexplode("bands").alias("band", "value"))
-    heads = banded.groupBy("band", "value").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    together = settle_rows(banded.join(heads, ["band", "value"]))
-    stars = together.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
-    links = settle_rows(confirmed(stars, texts, "id", "t", width, least))
-    groups = components(links, "a", "b")
-    # Bands that still hold several groups: members outside their largest group against the rest.
-    placed = together.join(groups, F.col("id") == F.col("node"), "left").select(
-        "band", "value", "head", "id", "n", "bits0", "bits1", F.coalesce("component", "id").alias("g")
-    )
-    tally = placed.groupBy("band", "value", "g").agg(F.count(F.lit(1)).alias("members"))
-    main = tally.groupBy("band", "value").agg(
-        F.max_by("g", F.struct("members", "g")).alias("main"), F.count(F.lit(1)).alias("groups")
-    ).where("groups > 1")
-    open_rows = settle_rows(placed.join(main, ["band", "value"]))
-    left = open_rows.where("g <> main").select(*[F.col(c).alias(f"l_{c}") for c in ("band", "value", "id", "n", "bits0", "bits1", "g")])
-    near = F.expr(
-        "l_band = band and l_value = value and l_g <> g and l_id <> head and id <> l_id and id <> head"
-        f" and (g = main or l_id < id) and least(n, l_n) >= {least} * greatest(n, l_n)"
-        f" and bit_count(bits0 ^ l_bits0) + bit_count(bits1 ^ l_bits1) <= {SKETCH_APART}"
+    banded = sketch.select("id", (F.col("n") + TEXT_LOAD).alias("load"), F.posexplode("bands").alias("band", "value"))
+    sizes = banded.groupBy("band", "value").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    entries = settle_rows(banded.join(sizes, ["band", "value"]))
+    groups = components(settle_rows(linked(star_units(entries), texts, width, least)), "a", "b")
+    more = components(settle_rows(linked(open_units(entries, groups), texts, width, least)), "a", "b")
+    # What the second links join are groups of the first, or single texts.
+    second = more.select(F.col("node").alias("g"), F.col("component").alias("further"))
+    found = classes.join(groups, F.col("text_id") == F.col("node"), "left").withColumn("g", F.coalesce("component", "text_id"))
+    named_classes = found.join(second, "g", "left").select(
+        F.col("digest").alias("d"), "text_id", F.coalesce("further", "g").alias("component_id")
     )
-    rest = left.join(open_rows, near).select(F.least("l_id", "id").alias("a"), F.greatest("l_id", "id").alias("b")).distinct()
-    more = confirmed(rest, texts, "id", "t", width, least)
-    groups = components(links.union(more), "a", "b")
-    return member.join(groups, F.col("text_id") == F.col("node"), "left").select(
-        F.col("id").alias(doc_id),
-        "text_id",
-        F.coalesce("component", "text_id").alias("component_id"),
-        (F.col("id") == F.coalesce("component", "text_id")).alias("kept"),
+    alone = marked.where("digest is null").select("id", F.col("id").alias("text_id"), F.col("id").alias("component_id"))
+    placed = marked.where("digest is not null").join(named_classes, F.col("digest") == F.col("d")).select("id", "text_id", "component_id")
+    return placed.union(alone).select(
+        F.col("id").alias(doc_id), "text_id", "component_id", (F.col("id") == F.col("component_id")).alias("kept")
     )
