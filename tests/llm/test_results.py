@@ -38,7 +38,8 @@ def test_all_are_registered():
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(spark, sf_dir, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    for table in ("documents", "conversations"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf_dir}/{table}.parquet'")
     df, found = QUERIES[name](spark, sf_dir), con.execute(ORACLES[name])
     columns = [d[0] for d in found.description]
     assert sorted(df.columns) == sorted(columns)
@@ -143,7 +144,8 @@ def test_resampling_equals_plain_version(spark, sf_dir):
 
 def test_pipeline_equals_plain_stages(spark, sf_dir, library):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    for table in ("documents", "conversations"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf_dir}/{table}.parquet'")
     passed = {r[0] for r in con.execute(f"SELECT doc_id FROM ({ORACLES['op4_quality_rules']}) WHERE kept").fetchall()}
     docs = {i: t for i, t in brute.texts(sf_dir).items() if i in passed}
     docs = {i: t for i, t in brute.line_dedup(docs).items() if t.split()}
