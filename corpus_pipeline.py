@@ -10,9 +10,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modelpulse.functions.storage import scratch_path
+from modelpulse.functions.joins import lookup_join
+from modelpulse.functions.storage import scratch_path, settle_rows
 from modelpulse.llm import bpe_automaton, line_dedup, minhash, mixing, quality_rules
-from modelpulse.llm.common import fresh, read
+from modelpulse.llm.common import fresh, read, words_of
 
 
 def _rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,10 +40,25 @@ def _lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    name = fresh(docs.columns, "near_id")
-    kept = minhash.near_duplicates(docs).where("kept").select(F.col("doc_id").alias(name))
-    return docs.join(kept, F.col("doc_id") == F.col(name), "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    """One document of each group of near-duplicates.
+
+    Rows are judged, not ids: rows of a null id, or of an id that repeats, go by a negative key of
+    their own made from id and words. Rows of one id and the same words are copies, of which the
+    one with the smallest hash of all its columns stays. Texts without words are copies of nothing
+    but rows of their own id; an empty table stays empty.
+    """
+    key, times = fresh(docs.columns, "near_key"), fresh(docs.columns, "near_times")
+    repeated = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias(times)).where(F.col(times) > 1)
+    counted = lookup_join(docs, settle_rows(repeated), ["doc_id"], "left", spread_by=docs.columns)
+    words = F.array_join(words_of("text"), " ")
+    own = F.xxhash64("doc_id", F.sha2(words, 256)).bitwiseOR(F.lit(-(2**63)))
+    unusual = F.col("doc_id").isNull() | F.col(times).isNotNull()
+    keyed = counted.select(F.when(unusual, own).otherwise(F.col("doc_id")).alias(key), *[F.col(f"`{c}`") for c in docs.columns])
+    kept = minhash.near_duplicates(keyed, doc_id=key).where("kept").select(key)
+    left = keyed.join(kept, key, "left_semi")
+    whole = F.struct(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("h"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    single = left.groupBy(key).agg(F.min(whole).alias("doc"))
+    return single.select(*[F.col(f"doc.c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def _mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
