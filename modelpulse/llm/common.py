@@ -40,6 +40,12 @@ def fresh(columns: Sequence[str], name: str) -> str:
     return name
 
 
+def besides(columns: Sequence[str], added: Iterable[str]) -> list[str]:
+    """The columns that aren't replaced by added ones, whatever the case of their letters."""
+    replaced = {a.lower() for a in added}
+    return [c for c in columns if c.lower() not in replaced]
+
+
 def text_chunks(texts: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, list[str]]]:
     """Consecutive texts of about `most` bytes together, nulls as empty; with the first's place."""
     held, size, start = [], 0, 0
@@ -62,7 +68,7 @@ def with_arrow_columns(
     `work(texts)` returns one list for each added column. Rows, order and other columns stay.
     An added column replaces one of that name.
     """
-    kept = [c for c in df.columns if c not in added]
+    kept = besides(df.columns, added)
     schema = T.StructType(
         [f for f in df.schema.fields if f.name in kept] + [T.StructField(n, t) for n, t in added.items()]
     )

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from modelpulse.functions.storage import settle_rows
-from modelpulse.llm.common import WORD, fresh, let
+from modelpulse.llm.common import WORD, besides, fresh, let
 
 #: Words of a run that counts as a passage.
 LEAST = 50
@@ -130,9 +130,10 @@ def dedup_lines(
     found = repeated_lines(docs, doc_id, text, least)
     key = fresh(docs.columns, "line_version")
     places = fresh(docs.columns, "line_places")
-    gone = found.select(F.col("id").alias("_gone_id"), F.col("version").alias("_gone_version"), F.col("places").alias(places))
+    gone_id, gone_version = fresh(docs.columns, "gone_id"), fresh(docs.columns, "gone_version")
+    gone = found.select(F.col("id").alias(gone_id), F.col("version").alias(gone_version), F.col("places").alias(places))
     rows = docs.withColumn(key, F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    joined = rows.join(gone, (F.col(doc_id) == F.col("_gone_id")) & (F.col(key) == F.col("_gone_version")), "left")
+    joined = rows.join(gone, (F.col(doc_id) == F.col(gone_id)) & (F.col(key) == F.col(gone_version)), "left")
     lines = F.split(F.col(text), "\n", -1)
     # Runs of places to keep: what lies between the deleted ones.
     kept = let(
@@ -148,11 +149,12 @@ def dedup_lines(
             ),
         ),
     )
-    others = [c for c in docs.columns if c not in (text, "n_lines", "n_removed")]
+    own = besides(docs.columns, ("n_lines", "n_removed"))
+    others = [c for c in own if c != text]
     out = joined.select(
         *[F.col(f"`{c}`") for c in others],
         F.when(F.col(places).isNull(), F.col(text)).otherwise(F.array_join(kept, "\n")).alias(text),
         F.when(F.col(text).isNull(), 0).otherwise(F.size(lines)).cast("bigint").alias("n_lines"),
         F.coalesce(F.size(places), F.lit(0)).cast("bigint").alias("n_removed"),
     )
-    return out.select(*[c for c in docs.columns if c not in ("n_lines", "n_removed")], "n_lines", "n_removed")
+    return out.select(*[F.col(f"`{c}`") for c in own], "n_lines", "n_removed")

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from modelpulse.functions.storage import settle_rows
-from modelpulse.llm.common import WORD, fresh
+from modelpulse.llm.common import WORD, besides, fresh
 
 REPEATS = 3
 #: Slices of the seeded order; the words of each slice are summed before any window.
@@ -181,16 +181,17 @@ def mix(
         spans[c["sources"]], c["slice"], c["earlier"], c["kept"], c["rest"], "words"
     )
     cut = settle_rows(cut)
+    cuts = {x: fresh([*docs.columns, *c.values()], f"cut_{x}") for x in cut.columns}
     rows = rows.alias("r").join(
-        cut.select(*[F.col(x).alias(f"_{x}") for x in cut.columns]),
-        F.expr(f"r.`{c['sources']}` <=> `_{c['sources']}` and r.`{c['slice']}` = `_{c['slice']}`"),
+        cut.select(*[F.col(x).alias(y) for x, y in cuts.items()]),
+        F.expr(f"r.`{c['sources']}` <=> `{cuts[c['sources']]}` and r.`{c['slice']}` = `{cuts[c['slice']]}`"),
         "left",
     )
-    earlier, rest, kept, words = (F.col(f"_{x}") for x in (c["earlier"], c["rest"], c["kept"], "words"))
+    earlier, rest, kept, words = (F.col(cuts[x]) for x in (c["earlier"], c["rest"], c["kept"], "words"))
     edge = (earlier < rest) & (earlier + words > rest)
     inside = rows.where(edge).selectExpr(
         "*",
-        f"`_{c['earlier']}` + coalesce(sum(`{c['size']}`) over (partition by `{c['sources']}`, `{c['slice']}`"
+        f"`{cuts[c['earlier']]}` + coalesce(sum(`{c['size']}`) over (partition by `{c['sources']}`, `{c['slice']}`"
         f" order by `{c['at']}`, `{doc_id}`, `{c['size']}` rows between unbounded preceding and 1 preceding), 0) as `{c['before']}`",
     )
     outside = rows.where(~F.coalesce(edge, F.lit(False))).withColumn(c["before"], earlier)
@@ -199,7 +200,7 @@ def mix(
     more = (F.col(c["before"]) < rest) & (2 * (rest - F.col(c["before"])) >= F.col(c["size"]))
     whole = (earlier + words <= rest)
     copies = F.coalesce(kept + F.when(F.col(c["size"]) == 0, 0).when(whole | more, 1).otherwise(0), F.lit(0))
-    own = [x for x in docs.columns if x not in ("size", "copies", "taken")]
+    own = besides(docs.columns, ("size", "copies", "taken"))
     return done.select(
         *[F.col(f"`{x}`") for x in own],
         F.col(c["size"]).alias("size"),

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from modelpulse.llm.common import WORD, let, words_of
+from modelpulse.llm.common import besides, fresh, let, words_of
 
 #: Frequent words of the languages at hand.
 STOP_WORDS = (
@@ -123,14 +123,18 @@ def passes(rule: Rule, value) -> Column:
 def apply_rules(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Add the counts, base_failed, the rules a text breaks, and kept.
 
-    A null text has no words. Rows and other columns stay; added columns replace their likes.
+    A null, empty or blank text has no words and fails the base; long texts are judged whole. Rows
+    are judged one by one, so repeated ones alike, and an empty table stays empty. Rows and other
+    columns stay; added columns replace those of their names, whatever the case. Stop words are a
+    fixed list of four languages: prose in others fails that rule unless `rules` leaves it out.
     """
-    measured = docs.withColumn("_counts", counts(F.col(text)))
-    value = lambda name: F.col(f"_counts.{name}")
+    held = fresh(docs.columns, "rule_counts")
+    measured = docs.withColumn(held, counts(F.col(text)))
+    value = lambda name: F.col(f"{held}.{name}")
     base = (value("n_words") < 50) | (100 * value("n_repeat_words") > 50 * value("n_words"))
     broken = F.filter(F.array(*[F.when(~passes(r, value), F.lit(r.name)) for r in rules]), lambda x: x.isNotNull())
     shown = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_stop_words", "n_loud_words", "n_lines")
     added = {n: value(n) for n in shown} | {"base_failed": base, "broken_rules": broken}
     added["kept"] = ~base & (F.size(broken) == 0)
-    own = [F.col(f"`{c}`") for c in docs.columns if c not in added]
+    own = [F.col(f"`{c}`") for c in besides(docs.columns, added)]
     return measured.select(*own, *[c.alias(n) for n, c in added.items()])

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from modelpulse.llm.common import WORD, Shared, with_arrow_columns
+from modelpulse.llm.common import WORD, Shared, fresh, with_arrow_columns
 
 #: Labelled documents of either kind that the model is fitted on, at most.
 SAMPLE = 2_000
@@ -174,11 +174,11 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     """
     usable = labels.where(F.col(label).isNotNull() & ~held_out(doc_id)).select(doc_id, F.col(label).cast("int").alias("y"))
     shares = {r["y"]: r["count"] for r in usable.groupBy("y").count().collect()}
-    texts = {}
+    texts, name = {}, fresh(docs.columns, "labelled_id")
     for kind in (1, 0):
         # The ids are few whatever the size of the labels, and so are their texts.
-        chosen = usable.where(F.col("y") == kind).orderBy(F.xxhash64(doc_id, F.lit(29)), doc_id).limit(sample).select(F.col(doc_id).alias("_id"))
-        found = docs.join(F.broadcast(chosen), F.col(doc_id) == F.col("_id")).where(F.col(text).isNotNull())
+        chosen = usable.where(F.col("y") == kind).orderBy(F.xxhash64(doc_id, F.lit(29)), doc_id).limit(sample).select(F.col(doc_id).alias(name))
+        found = docs.join(F.broadcast(chosen), F.col(doc_id) == F.col(name)).where(F.col(text).isNotNull())
         texts[kind] = [r[0] for r in found.orderBy(doc_id, text).select(text).collect()]
     total = shares.get(1, 0) + shares.get(0, 0)
     return Model(texts[1], texts[0], shares.get(1, 0) / total if total else None)
