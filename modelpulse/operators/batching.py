@@ -18,6 +18,8 @@ from modelpulse.spec import BATCH_ROWS, BATCH_TIMEOUT_SECONDS, CAPTURE_TICK_SECO
 
 CHUNK_BLOCK = 20_000
 FAN = 4_096
+#: Entries of all maps that one task may hold at the worst, where no two walks meet.
+HELD_ENTRIES = 8_000_000
 
 # The functions below that run in tasks travel with them, so executors need no copy of the
 # package.
@@ -91,10 +93,12 @@ def keep_latest(
 #
 # Where a batch ends depends on where it began, so the series of one model looks sequential.
 # But an open batch never spans `size` chunks (each chunk has a row), hence the whole past of
-# a position is one number below `size`: how many chunks ago the open batch began. A block of
-# chunks is then a small table from that number at its start to the number at its end. The
-# tables are built for all blocks at once, chained (a few numbers per block), and each block
-# is labelled by itself once its entry is known.
+# a position is one number: how many chunks ago the open batch began. A block of chunks is
+# then a map from that number at its start to the number at its end. Only beginnings whose
+# batch reaches the block can occur, and walks from neighbouring beginnings soon meet, so the
+# map is kept as stretches of entries with one result and hardly depends on `size`. The maps
+# are built for all blocks at once by doubling the pointers to the next beginning, chained (a
+# few numbers per block), and each block is labelled by itself once its entry is known.
 
 
 def _flush_points(
@@ -128,32 +132,65 @@ def _sorted_block(pdf: pd.DataFrame) -> tuple[pd.DataFrame, int, bool]:
     return pdf, start, bool(pdf["chunk_no"].iloc[0] == 0)
 
 
-def _block_table(size: int, min_rows: int, timeout_us: int | None, keys: list[str]):
-    def table(pdf: pd.DataFrame) -> pd.DataFrame:
+def _next_beginnings(flush: np.ndarray) -> np.ndarray:
+    """Where the batch after one that begins at i begins; a batch left open points to itself.
+
+    Position len(flush) is the end of the block.
+    """
+    end = len(flush)
+    here = np.arange(end + 1)
+    after = here.copy()
+    after[:end] = np.where(flush < end, flush + 1, here[:end])
+    return after
+
+
+def _last_beginnings(after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Beginning of the batch open at the end of the block, and batches completed until then,
+    for a batch that begins at i. Pointers double, so rounds are the logarithm of the batches."""
+    done = (after != np.arange(len(after))).astype(np.int64)
+    while True:
+        further = after[after]
+        if np.array_equal(further, after):
+            return after, done
+        done = done + done[after]
+        after = further
+
+
+def _visited(after: np.ndarray, begin: int) -> np.ndarray:
+    """Which positions are beginnings on the walk from `begin`; pointers double."""
+    seen = np.zeros(len(after), bool)
+    seen[begin] = True
+    while True:
+        seen[after[seen]] = True
+        further = after[after]
+        if np.array_equal(further, after):
+            return seen
+        after = further
+
+
+def _stretches(first: np.ndarray, leave: np.ndarray, done: np.ndarray) -> dict[str, list]:
+    """Neighbouring entries with the same result as one, named by its first entry."""
+    new = np.ones(len(first), bool)
+    new[1:] = (leave[1:] != leave[:-1]) | (done[1:] != done[:-1])
+    return {"first": first[new].tolist(), "leave": leave[new].tolist(), "done": done[new].tolist()}
+
+
+def _block_map(size: int, min_rows: int, timeout_us: int | None, keys: list[str]):
+    def block_map(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf, start, first = _sorted_block(pdf)
         rows, at = pdf["rows"].to_numpy(np.int64), pdf["at_us"].to_numpy(np.int64)
-        end = len(rows)
         flush = _flush_points(rows, at, size, min_rows, timeout_us, first)
-        begun = np.zeros(end + 1, np.int64)  # chunks since the open batch began, at the end
-        done = np.zeros(end + 1, np.int64)  # batches completed in this block
-        for i in range(end - 1, -1, -1):
-            stop = flush[i]
-            if stop >= end:
-                begun[i] = end - i
-            else:
-                begun[i] = begun[stop + 1]
-                done[i] = done[stop + 1] + 1
-        entries = start - np.arange(size)
-        known = np.maximum(entries, 0)
-        leave = np.where(entries >= 0, begun[known], 0)
+        begun, done = _last_beginnings(_next_beginnings(flush))
+        # The batch open at the start of the block began where its last chunk is not before it.
+        oldest = int(np.argmax(flush[: start + 1] >= start))
+        began = np.arange(start, oldest - 1, -1)
         out = pdf.loc[[0], keys].copy()
         out["unit"] = pdf["_block"].iloc[0]
-        # Entries that cannot occur may point past the table; they are never followed.
-        out["leave"] = [np.minimum(leave, size - 1).tolist()]
-        out["done"] = [np.where(entries >= 0, done[known], 0).tolist()]
+        for name, cells in _stretches(start - began, len(rows) - begun[began], done[began]).items():
+            out[name] = [cells]
         return out
 
-    return table
+    return block_map
 
 
 def _label_block(size: int, min_rows: int, timeout_us: int | None, keys: list[str]):
@@ -161,12 +198,8 @@ def _label_block(size: int, min_rows: int, timeout_us: int | None, keys: list[st
         pdf, start, first = _sorted_block(pdf)
         rows, at = pdf["rows"].to_numpy(np.int64), pdf["at_us"].to_numpy(np.int64)
         flush = _flush_points(rows, at, size, min_rows, timeout_us, first)
-        batch = np.zeros(len(rows), np.int64)
-        begin, number = start - int(pdf["entry"].iloc[0]), int(pdf["before"].iloc[0])
-        while begin < len(rows):
-            stop = int(flush[begin])
-            batch[max(begin, start) : stop + 1] = number
-            begin, number = stop + 1, number + 1
+        begins = _visited(_next_beginnings(flush), start - int(pdf["entry"].iloc[0]))
+        batch = int(pdf["before"].iloc[0]) - 1 + np.cumsum(begins[:-1])
         out = pdf.loc[start:, [*keys, "chunk_no"]].copy()
         out["batch"] = batch[start:]
         out["complete"] = out["batch"] < pdf["closed"].iloc[start]
@@ -175,17 +208,19 @@ def _label_block(size: int, min_rows: int, timeout_us: int | None, keys: list[st
     return label
 
 
-def _chain(keys: list[str], identity: int):
-    """Tables of consecutive units joined into one."""
+def _chain(keys: list[str]):
+    """Maps of consecutive units joined into one: every stretch of the first is followed."""
 
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("unit", ignore_index=True)
-        state, total = np.arange(identity), np.zeros(identity, np.int64)
-        for leave, done in zip(pdf["leave"], pdf["done"]):
-            total = total + np.asarray(done)[state]
-            state = np.asarray(leave)[state]
+        head = pdf.iloc[0]
+        state, total = np.asarray(head["leave"]), np.asarray(head["done"])
+        for first, leave, done in zip(pdf["first"][1:], pdf["leave"][1:], pdf["done"][1:]):
+            at = np.searchsorted(first, state, side="right") - 1
+            state, total = np.asarray(leave)[at], total + np.asarray(done)[at]
         out = pdf.loc[[0], [*keys, "parent"]].rename(columns={"parent": "unit"})
-        out["leave"], out["done"] = [state.tolist()], [total.tolist()]
+        for name, cells in _stretches(np.asarray(head["first"]), state, total).items():
+            out[name] = [cells]
         return out
 
     return chain
@@ -198,11 +233,12 @@ def _follow(keys: list[str]):
         pdf = pdf.sort_values("unit", ignore_index=True)
         state, before = int(pdf["entry0"].iloc[0]), int(pdf["before0"].iloc[0])
         entries, earlier = [], []
-        for leave, done in zip(pdf["leave"], pdf["done"]):
+        for first, leave, done in zip(pdf["first"], pdf["leave"], pdf["done"]):
             entries.append(state)
             earlier.append(before)
-            before += int(done[state])
-            state = int(leave[state])
+            at = int(np.searchsorted(first, state, side="right")) - 1
+            before += int(done[at])
+            state = int(leave[at])
         out = pdf[[*keys, "unit"]].copy()
         out["entry"], out["before"], out["after"] = entries, earlier, before
         return out
@@ -210,8 +246,8 @@ def _follow(keys: list[str]):
     return follow
 
 
-def _entries(units: DataFrame, keys: list[str], size: int, fan: int) -> DataFrame:
-    """(keys, unit, entry, before, closed) from the settled tables of the units.
+def _entries(units: DataFrame, keys: list[str], fan: int) -> DataFrame:
+    """(keys, unit, entry, before, closed) from the settled maps of the units.
 
     Up to `fan` units of a key are followed in one group. Where a key has more, runs of
     `fan` units are joined into parents first and the entries handed down again.
@@ -227,8 +263,8 @@ def _entries(units: DataFrame, keys: list[str], size: int, fan: int) -> DataFram
         found = start.groupBy(*keys).applyInPandas(_follow(keys), entry_schema)
         return found.withColumnRenamed("after", "closed")
     grouped = units.withColumn("parent", F.floor(F.col("unit") / F.lit(fan)).cast("bigint"))
-    parents = grouped.groupBy(*keys, "parent").applyInPandas(_chain(keys, size), units.schema)
-    above = _entries(settle(parents), keys, size, fan).select(
+    parents = grouped.groupBy(*keys, "parent").applyInPandas(_chain(keys), units.schema)
+    above = _entries(settle(parents), keys, fan).select(
         *keys,
         F.col("unit").alias("parent"),
         F.col("entry").alias("entry0"),
@@ -259,8 +295,12 @@ def accumulate_chunks(
     `chunks` is settled and has the keys, chunk_no (0, 1, 2, ... per key, in arrival order),
     rows (at least 1) and at_us (arrival in microseconds, not falling along chunk_no).
     Returns keys, chunk_no, batch and complete (false for the batch left open at the end).
+
+    A block holds at most `block` chunks, or `size` if that is more, and the `size` before them; a task that
+    chains maps holds at most `fan` of them and HELD_ENTRIES entries.
     """
     keys = list(keys)
+    fan = max(2, min(fan, HELD_ENTRIES // size))
     block = max(block, size)
     timeout_us = None if timeout_seconds is None else int(timeout_seconds * 1_000_000)
     blocks = overlapped(chunks.select(*keys, "chunk_no", "rows", "at_us"), "chunk_no", size, block)
@@ -270,12 +310,13 @@ def accumulate_chunks(
     fields = [chunks.schema[k] for k in keys]
     unit_schema = T.StructType(
         [*fields, T.StructField("unit", T.LongType()),
+         T.StructField("first", T.ArrayType(T.LongType())),
          T.StructField("leave", T.ArrayType(T.LongType())),
          T.StructField("done", T.ArrayType(T.LongType()))]
     )
-    make_table = _block_table(size, min_rows, timeout_us, keys)
-    units = settle(blocks.groupBy(*keys, "_block").applyInPandas(make_table, unit_schema))
-    entries = _entries(units, keys, size, fan).withColumnRenamed("unit", "_block")
+    make_map = _block_map(size, min_rows, timeout_us, keys)
+    units = settle(blocks.groupBy(*keys, "_block").applyInPandas(make_map, unit_schema))
+    entries = _entries(units, keys, fan).withColumnRenamed("unit", "_block")
     label_schema = T.StructType(
         [*fields, T.StructField("chunk_no", T.LongType()), T.StructField("batch", T.LongType()),
          T.StructField("complete", T.BooleanType())]

@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,6 +83,42 @@ def test_gathering_equals_fold(spark, timeout, block, fan):
     assert got == wanted
 
 
+@pytest.mark.parametrize("timeout", [None, 40])
+def test_gathering_into_very_large_batches(spark, timeout):
+    random.seed(f"large{timeout}")
+    now, chunks = 0, []
+    for _ in range(260_000):
+        now += random.choice([0, 0, 0, 1, 45])
+        chunks.append((random.choice([1, 2, 3]), now))
+    held, batch, last, wanted = 0, 0, chunks[0][1], []
+    for rows, at in chunks:
+        held += rows
+        wanted.append(batch)
+        if held >= 100_000 or (timeout is not None and at - last >= timeout and held >= 8):
+            batch, held, last = batch + 1, 0, at
+    table = pd.DataFrame(
+        [(1, no, rows, at * 1_000_000) for no, (rows, at) in enumerate(chunks)],
+        columns=["model", "chunk_no", "rows", "at_us"],
+    )
+    out = batching.accumulate_chunks(spark.createDataFrame(table), ["model"], 100_000, 8, timeout)
+    got = out.orderBy("chunk_no").toPandas()
+    assert got["batch"].tolist() == wanted
+    assert got["complete"].tolist() == [b < batch for b in wanted]
+
+
+def test_maps_of_blocks_keep_stretches_only():
+    rows = np.tile([1, 2, 3], 40_000)
+    block = pd.DataFrame({
+        "model": 1, "chunk_no": np.arange(1, len(rows) + 1), "rows": rows,
+        "at_us": np.arange(len(rows)) * 1_000_000, "_home": 1, "_block": 1,
+    })
+    block.loc[:99_999, "_home"] = 0
+    found = batching._block_map(100_000, 8, 30_000_000, ["model"])(block)
+    assert len(found["first"][0]) == len(found["leave"][0]) == len(found["done"][0]) < 100
+    walks = batching._last_beginnings(np.array([3, 2, 4, 3, 4]))
+    assert walks[0].tolist() == [3, 4, 4, 3, 4] and walks[1].tolist() == [1, 2, 1, 0, 0]
+
+
 @pytest.mark.parametrize(
     "sizes, wanted", [([10] * 12, [50, 50, 20]), ([30, 30, 10], [60, 10])]
 )
