@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from modelpulse.functions.joins import BROADCAST_ROWS, is_small, lookup_join
 from modelpulse.functions.ordering import number_rows, overlapped, own_rows
 from modelpulse.functions.storage import settle_counted, settle_rows
+from modelpulse.operators.contraction import contract, levels_of
 from modelpulse.spec import NODE_STATUSES, STATUS_SCORES
 
 STRONG = 0.5
@@ -161,6 +162,8 @@ def check_graph(
 
 ACTIVE, WARNING, CRITICAL = 1, 2, 3
 HUB_SALTS = 32
+#: Rounds over the links as they are; a spread still going on then is a deep one.
+PLAIN_ROUNDS = 4
 #: Tables of earlier rounds that a round looks into; then they are made one, so plans don't grow.
 STATE_TABLES = 8
 
@@ -185,28 +188,42 @@ def _spread(links: DataFrame, seeds: DataFrame) -> DataFrame:
     A strong link hands on the level of its source, a weak one only that the target is to be
     walked on from; a target never has less than its own level. Each round follows the links
     of the nodes whose level rose last, and keeps the targets that rise, so paths are never
-    enumerated and cycles end. Every round is settled in the shared folder; the number of
-    rounds is the depth of the graph.
+    enumerated and cycles end. Every round is settled in the shared folder. A spread that does not
+    end in PLAIN_ROUNDS goes on over shortened links: chains and trees take the logarithm of
+    their depth; what lies between nodes with several parents takes a round per step.
     """
-    frontier, size = settle_counted(seeds.select("node", F.lit(CRITICAL).alias("level")).distinct())
-    found, tables = frontier, 1
+    found, ended = _rounds(links, seeds.select("node", F.lit(CRITICAL).alias("level")).distinct(), PLAIN_ROUNDS)
+    if ended:
+        return found
+    begun = settle_rows(found.where(F.col("level") == CRITICAL))
+    links, taken = contract(links, begun, ACTIVE)
+    levels = begun if links is None else _rounds(links, begun)[0]
+    return levels_of(levels, taken, ACTIVE)
+
+
+def _rounds(links: DataFrame, begun: DataFrame, limit: int | None = None) -> tuple[DataFrame, bool]:
+    """Levels after at most `limit` rounds, and whether no round is open."""
+    frontier, size = settle_counted(begun)
+    found, tables, done = frontier, 1, 0
     given = F.expr(f"greatest(if(strong, level, {ACTIVE}), own) as level")
-    while size:
+    while size and done != limit:
         reached = _follow(links, frontier, size).select(F.col("dst").alias("node"), given)
         best = reached.groupBy("node").agg(F.max("level").alias("level")).alias("n")
         known = found.alias("o")
         not_lower = (F.col("n.node") == F.col("o.node")) & (F.col("o.level") >= F.col("n.level"))
         frontier, size = settle_counted(best.join(known, not_lower, "left_anti"))
+        done += 1
         if size:
             found, tables = found.unionByName(frontier), tables + 1
         if tables == STATE_TABLES:
             found, tables = settle_rows(found.groupBy("node").agg(F.max("level").alias("level"))), 1
-    return found.groupBy("node").agg(F.max("level").alias("level"))
+    return found.groupBy("node").agg(F.max("level").alias("level")), not size
 
 
 def reach(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """Nodes reached from the seeds over any edge, the seeds included."""
     links = edges.select("src", "dst", F.lit(True).alias("strong"), F.lit(ACTIVE).alias("own"))
+    links = links.where("src is not null and dst is not null")
     return _spread(settle_rows(links), seeds).select("node")
 
 
@@ -229,6 +246,7 @@ def propagate(
         )
     )
     links = latest.select("src", "dst", (F.col("weight") >= min_weight).alias("strong"))
+    links = links.where("src is not null and dst is not null")
     if count == 0:
         # Below a weak edge all is green and stays so.
         links = links.where("strong").withColumn("own", F.lit(ACTIVE))

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from modelpulse.operators import cycles, graph, reporting
+from modelpulse.operators import contraction, cycles, graph, reporting
 from modelpulse.operators.cycles import strong_components
 
 EVENTS = "node string, seq int, req_status string"
@@ -105,12 +105,53 @@ def test_spread_on_random_graphs_with_cycles(spark, limit, monkeypatch):
 
 def test_spread_down_a_chain_keeps_its_plans_small(spark, monkeypatch):
     monkeypatch.setattr(graph, "STATE_TABLES", 3)
+    monkeypatch.setattr(graph, "PLAIN_ROUNDS", 100)
     names = [f"n{i:02d}" for i in range(20)]
     edges = [(a, b, 0.9) for a, b in zip(names, names[1:])] + [("n15", "n02", 0.9)]
     out = spread(spark, [(n, "green") for n in [*names, "z"]], edges, ["n00"])
     assert out == {**{n: "critical" for n in names}, "z": "green"}
 
 
+def deep(rng, kind):
+    """(edges, seeds) of a graph that a spread does not cross in a few rounds."""
+    weight = lambda: rng.choice([0.2, 0.9, 0.9, 0.9])
+    if kind == "tree":
+        pairs = [(rng.randrange(max(0, i - 3), i), i) for i in range(1, 60)]
+    elif kind == "diamonds":
+        pairs = [p for i in range(0, 45, 3) for p in ((i, i + 1), (i, i + 2), (i + 1, i + 3), (i + 2, i + 3))]
+    elif kind == "ladder":
+        pairs = [(i, i + j) for i in range(0, 30) for j in (1, 2, 3)]
+    elif kind == "rings":
+        pairs = [(i, (i + 1) % 20) for i in range(20)] + [(30 + i, 30 + (i + 1) % 9) for i in range(9)]
+        pairs += [(35, 7), (60, 8), (61, 60), (12, 13), (13, 12), (9, 4), (15, 50), (50, 51), (51, 15), (50, 50)]
+    else:
+        pairs = [(i, i + 1) for i in range(25)] + [(rng.randrange(45), rng.randrange(45)) for _ in range(35)]
+    return [(f"n{a}", f"n{b}", weight()) for a, b in set(pairs)], {"n0", f"n{rng.randrange(8)}"}
+
+
+@pytest.mark.parametrize("kind", ["tree", "diamonds", "ladder", "rings", "random"])
+def test_spread_over_shortened_links(spark, kind, monkeypatch):
+    monkeypatch.setattr(graph, "PLAIN_ROUNDS", 1)
+    rng = random.Random(f"deep {kind}")
+    edges, seeds = deep(rng, kind)
+    names = sorted({x for a, b, _ in edges for x in (a, b)} | seeds)
+    status = {n: rng.choice(["green"] * 8 + ["warning", "critical", "grey"]) for n in names}
+    assert spread(spark, list(status.items()), [*edges, (None, "n1", 0.9), ("n1", None, 0.9)], seeds) == walked(status, edges, seeds)
+
+
+def test_a_long_chain_takes_the_logarithm_of_its_rounds(spark, monkeypatch):
+    rounds = []
+    plain, doubled = graph._follow, contraction.settle_observed
+    monkeypatch.setattr(graph, "_follow", lambda *a: rounds.append("step") or plain(*a))
+    monkeypatch.setattr(contraction, "settle_observed", lambda *a, **k: rounds.append("double") or doubled(*a, **k))
+    names = [f"n{i:04d}" for i in range(2_000)]
+    edges = [(a, b, 0.1 if b == "n1500" else 0.9) for a, b in zip(names, names[1:])]
+    status = {n: "warning" if n == "n1600" else "green" for n in names}
+    out = spread(spark, list(status.items()), edges, ["n0000"])
+    assert out == {n: "critical" if n < "n1500" else "warning" if n >= "n1600" else "green" for n in names}
+    assert len(rounds) <= 15, rounds
+
+
 def test_latest_edge_weight_wins(spark):
     e = spark.createDataFrame([("a", "b", 0.9, 1), ("a", "b", 0.1, 2), ("a", "c", None, 1)], "src string, dst string, weight double, seq int")
     out = {(r.src, r.dst): r.weight for r in graph.latest_edges(e, "seq").collect()}
