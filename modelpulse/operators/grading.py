@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from modelpulse.functions.joins import lookup_join
 from modelpulse.functions.ordering import number_rows, overlapped, own_rows, running_totals
+from modelpulse.functions.storage import settle_counted, settle_rows
+from modelpulse.operators.batching import keep_latest
 from modelpulse.spec import DIRECTIONS, DOMAINS
 
 HISTORY = 5
@@ -127,6 +129,40 @@ def persist_filter(
     return counted.selectExpr(*columns, status)
 
 
+def regrade_late(
+    stored: DataFrame, late: DataFrame, keys: Sequence[str], order: Sequence[str], salts: int = 64
+) -> DataFrame:
+    """What changes when rows come late: they, and the rows after each that look back on it.
+
+    `stored` has final statuses and `late` raw ones (the columns of `grade_raw`). A late row with the keys
+    and order of a stored one replaces it. Returned are the late rows and, of their series, the
+    N rows after each, N being the longest persistence, with `status` anew and `late` true for
+    the late ones; all other statuses stay as they are. Read are the stored rows
+    from the first late one of a series on and the newest N before, never a whole history.
+    """
+    keys, order = list(keys), list(order)
+    depth = max(c["persistence"] for c in DOMAINS.values())
+    columns = [c for c in stored.columns if c != "status"]
+    fresh = settle_rows(late.select(*columns))
+    at = F.struct(*order)
+    first, series = settle_counted(fresh.groupBy(*keys).agg(F.min(at).alias("_from")))
+    rest = stored.select(*columns).join(fresh.select(*keys, *order), [*keys, *order], "left_anti")
+    touched = lookup_join(rest, first, keys, spread_by=order, rows=series).withColumn("_after", at >= F.col("_from"))
+    before = keep_latest(touched.where("not _after"), keys, order, depth, [*keys, *order], salts)
+    seen = before.unionByName(touched.where("_after")).select(*columns, F.lit(False).alias("late"))
+    numbered = settle_rows(number_rows(seen.unionByName(fresh.withColumn("late", F.lit(True))), keys, order, "_seq"))
+    judged = overlapped(persist_filter(numbered, keys, order, seq="_seq"), "_seq", depth)
+    back = Window.partitionBy(*keys, "_block").orderBy("_seq").rowsBetween(-depth, 0)
+    marked = own_rows(judged.withColumn("_near", F.max("late").over(back)))
+    return marked.where("_near").select(*columns, "status", "late")
+
+
+def with_regraded(stored: DataFrame, regraded: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The stored rows with what `regrade_late` returned in place of its rows."""
+    old = stored.join(regraded.select(*keys, *order), [*keys, *order], "left_anti")
+    return old.unionByName(regraded.select(*stored.columns))
+
+
 def grade(
     metrics: DataFrame,
     summary: DataFrame,

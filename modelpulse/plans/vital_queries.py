@@ -7,14 +7,15 @@ import dataclasses
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modelpulse.functions.storage import settle
+from modelpulse.functions.storage import scratch_path, settle
 from modelpulse.operators import baseline as base
 from modelpulse.operators import drift as dr
-from modelpulse.operators import explain, fairness, privacy
+from modelpulse.operators import explain, fairness, privacy, profiles
 from modelpulse.plans import monitor
 from modelpulse.plans import sql as q
 from modelpulse.plans.registry import query
 from modelpulse.sources import tables as t
+from modelpulse.sources.store import append_once, read_committed
 
 BY = ["model_id", "batch"]
 SHAP_SPEC = dataclasses.replace(t.EVENTS_SPEC, shap="shap")
@@ -65,6 +66,28 @@ def baseline_profile(spark, sf_dir):
         "posexplode(p) as (bin, p)").withColumn("bin", F.col("bin").cast("bigint"))
 
 
+@query("baseline_profile_merged", f"""WITH {q.EVENTS}, {q.profile(q.EVENT_FEATURES)}
+SELECT model_id, feature, st.n, round(mean, 6) AS mean, round(std, 6) AS std, round(lo, 6) AS lo,
+       round(hi, 6) AS hi, i AS bin, CASE WHEN feature = 'k' THEN round(p, 6) END AS p
+FROM st JOIN pb USING (model_id, feature)""")
+def baseline_profile_merged(spark, sf_dir):
+    """The profile of ten days from cells per day that two runs stored, the second of them twice.
+
+    Whole numbers below 100 have a cell each, so the shares of `k` are exact; those of `value` have a
+    slack and are left out here.
+    """
+    before = events_split(spark, sf_dir)[0]
+    path = scratch_path(spark, "profile-cells")
+    for run, days in (("early", "day(batch) <= 5"), ("rest", "day(batch) > 5"), ("rest", "day(batch) > 5")):
+        cells = profiles.profile_cells(before.where(days), q.EVENT_FEATURES, ["model_id", "batch"])
+        append_once(cells, path, run, time="batch")
+    profile = profiles.profile_from_cells(read_committed(spark, path))
+    binned = profile.selectExpr(
+        "model_id", "feature", "n", "mean", "std", "lo", "hi", "posexplode(p) as (bin, p)")
+    exact = F.expr("if(feature = 'k', p, null)")
+    return binned.withColumn("bin", F.col("bin").cast("bigint")).withColumn("p", exact)
+
+
 @query("baseline_defaults", f"""WITH {q.EVENTS}, {q.SUMMARY}
 SELECT * FROM bs WHERE metric NOT IN ('gini', 'statistical_parity')""")
 def baseline_defaults(spark, sf_dir):

@@ -9,7 +9,7 @@ epoch writes the same folders again.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -19,7 +19,7 @@ from pyspark.sql.streaming import StreamingQuery
 from modelpulse.functions.ordering import running_totals
 from modelpulse.functions.storage import settle_rows
 from modelpulse.operators.batching import accumulate_chunks
-from modelpulse.operators.grading import grade_raw, persist_filter
+from modelpulse.operators.grading import grade_raw, persist_filter, regrade_late
 from modelpulse.sources.store import append_epoch
 from modelpulse.spec import BATCH_ROWS, BATCH_TIMEOUT_SECONDS, DOMAINS, MIN_BATCH_ROWS, BatchSpec
 
@@ -164,3 +164,42 @@ def grade_epoch(
     append_epoch(tail.select(*graded.columns), tail_path, epoch_id)
     return spark.read.parquet(f"{root}/evaluated/epoch={epoch_id}")
 
+
+def grade_epoch_late(
+    metrics: DataFrame,
+    summary: DataFrame,
+    spec: BatchSpec,
+    root: str,
+    epoch_id: int,
+    order: Sequence[str],
+    domain: str | None = None,
+) -> DataFrame:
+    """Grade the batches of one epoch at their place in time, which may lie before graded ones.
+
+    `metrics` has the columns of `order`, which tell when a batch was and end with its key. An epoch
+    writes its batches and those it gave another look; `current_grades` reads the newest of each.
+    A repeated epoch reads what the epochs before it wrote and replaces its own folder.
+    """
+    spark = metrics.sparkSession
+    series = [spec.model, "metric"]
+    raw = settle_rows(grade_raw(metrics, summary, domain or spec.domain, model=spec.model))
+    path = f"{root}/evaluated"
+    if epoch_id == 0:
+        changed = persist_filter(raw, series, order).withColumn("late", F.lit(True))
+    else:
+        stored = current_grades(spark, root, series, order, epoch_id)
+        changed = regrade_late(stored, raw, series, order)
+    append_epoch(changed, path, epoch_id)
+    return spark.read.parquet(f"{path}/epoch={epoch_id}")
+
+
+def current_grades(
+    spark: SparkSession, root: str, series: Sequence[str], order: Sequence[str], before: int | None = None
+) -> DataFrame:
+    """The newest grade of every batch, from the epochs below `before` if that is given."""
+    stored = spark.read.parquet(f"{root}/evaluated")
+    if before is not None:
+        stored = stored.where(F.col("epoch") < before)
+    columns = [c for c in stored.columns if c not in (*series, *order, "epoch", "late")]
+    newest = stored.groupBy(*series, *order).agg(F.max_by(F.struct(*columns), "epoch").alias("_row"))
+    return newest.select(*series, *order, "_row.*")
