@@ -4,10 +4,16 @@ The distinct pre-tokens of a chunk of texts lie behind one another in one array
 round looks up the rank of every pair of neighbours, finds the lowest rank in each sequence and
 merges that pair in all sequences at once, wherever it stands in them. Sequences without a pair
 to merge leave. What is left of each is its count; no ids are kept.
+
+A round touches all symbols of the sequences still in it, which would take the square of a very
+long one. Such a sequence is merged by itself: the places of its pairs are kept per rank, a round takes
+the lowest rank there is and looks at the neighbours of what it merged only.
 """
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +25,8 @@ from modelpulse.llm.pretokens import PreTokenizer, byte_symbols, load
 #: Stretches whose count a worker keeps; beyond, it starts anew.
 KEPT_WORDS = 500_000
 NONE = np.iinfo(np.int64).max
+#: Bytes from which a pre-token is merged by itself.
+LONG = 1_024
 
 
 class Counter:
@@ -67,13 +75,76 @@ class Counter:
     def merged(self, words: list[str]) -> np.ndarray:
         """Surviving symbols of each pre-token."""
         raw = [w.encode("utf-8") for w in words]
+        out = np.zeros(len(raw), np.int64)
+        short = [i for i, r in enumerate(raw) if len(r) < LONG]
+        if short:
+            out[short] = self._side_by_side([raw[i] for i in short])
+        for i, r in enumerate(raw):
+            if len(r) >= LONG:
+                out[i] = self._alone(r)
+        return out
+
+    def _alone(self, raw: bytes) -> int:
+        """Surviving symbols of one long pre-token; work grows with its merges, not with rounds times length."""
+        data = np.frombuffer(raw, np.uint8)
+        symbols = self.inner[data]
+        symbols[-1] = self.last[data[-1]]
+        n = len(symbols)
+        # Neighbours of each symbol that is left; n stands for none on either side.
+        after, before = np.arange(1, n + 1), np.append(np.arange(-1, n - 1), n)
+        before[0] = n
+        gone = np.zeros(n, bool)
+        waiting: dict[int, list[np.ndarray]] = {}
+        ranks: list[int] = []
+
+        def rank_at(places: np.ndarray) -> np.ndarray:
+            return self.rank_of(symbols[places] * self.width + symbols[after[places]])
+
+        def wait(places: np.ndarray) -> None:
+            places = places[after[places] < n]
+            rank = rank_at(places)
+            places, rank = places[rank < NONE], rank[rank < NONE]
+            order = np.argsort(rank, kind="stable")
+            places, rank = places[order], rank[order]
+            starts = np.flatnonzero(np.append(True, rank[1:] != rank[:-1])) if len(rank) else rank
+            for r, group in zip(rank[starts].tolist(), np.split(places, starts[1:])):
+                if r not in waiting:
+                    waiting[r] = []
+                    heapq.heappush(ranks, r)
+                waiting[r].append(group)
+
+        wait(np.arange(n - 1))
+        while ranks:
+            rank = heapq.heappop(ranks)
+            # Places may have been merged away or have another pair by now.
+            places = np.unique(np.concatenate(waiting.pop(rank)))
+            places = places[~gone[places]]
+            places = places[after[places] < n]
+            places = places[rank_at(places) == rank]
+            if not len(places):
+                continue
+            # Of touching pairs (a a a) every second from the left is merged.
+            touches = np.append(False, after[places[:-1]] == places[1:])
+            run = np.maximum.accumulate(np.where(touches, 0, np.arange(len(places))))
+            places = places[(np.arange(len(places)) - run) % 2 == 0]
+            eaten = after[places]
+            symbols[places] = self.becomes[rank]
+            gone[eaten] = True
+            after[places] = after[eaten]
+            before[after[places]] = places
+            left = before[places]
+            wait(np.unique(np.concatenate([places, left[left < n]])))
+        return n - int(gone.sum())
+
+    def _side_by_side(self, raw: list[bytes]) -> np.ndarray:
+        """Surviving symbols of each of many pre-tokens, every one not empty."""
         counts = np.array([len(r) for r in raw], np.int64)
         done = counts.copy()
         data = np.frombuffer(b"".join(raw), np.uint8)
         symbols = self.inner[data]
         ends = np.cumsum(counts) - 1
         symbols[ends] = self.last[data[ends]]
-        owner = np.repeat(np.arange(len(words)), counts)
+        owner = np.repeat(np.arange(len(raw)), counts)
         while len(symbols) > 1:
             # Rank of the pair that begins at each place.
             key = symbols[:-1] * self.width + symbols[1:]

@@ -1,12 +1,16 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing names."""
 
+import random
+
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from modelpulse.llm import (
     bpe_automaton, embeddings, licenses, line_dedup, minhash, mixing, quality_rules, resampling, token_counts, toxicity,
 )
+from modelpulse.llm.pretokens import load
 from modelpulse.llm.queries import BPE_FILE
 
 SCHEMA = "doc_id bigint, text string, source string, lang string, n_chars bigint, kept string, n_words string, id string, t string"
@@ -136,3 +140,13 @@ def test_vectors(spark):
     assert found[3]["component_id"] == 1 and found[10]["component_id"] == 9
     assert all(found[i]["n_links"] == 0 and found[i]["kept"] for i in (4, 5, 6, 7, 8, 11, 12))
     assert embeddings.near_vectors(df.limit(0)).count() == 0
+
+
+def test_long_texts_without_blanks_are_counted_like_the_library():
+    path, rng = public_tokenizers.path("word_bpe_49k.json"), random.Random(3)
+    letters = ["a", "ab", "aab", "etaoinshrdlu", "abcdefghijklmnopqrstuvwxyz0123456789éß"]
+    texts = ["".join(rng.choice(of) for _ in range(n)) for of in letters for n in (1_023, 1_024, 1_025, 6_000)]
+    texts += ["ab" * 3_000, "é" * 2_000, "x " + "z" * 1_500 + " y", "".join(rng.choice("etaoin") for _ in range(200_000))]
+    library = Tokenizer.from_file(path)
+    wanted = [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert token_counts.Counter(load(path)).count(texts) == wanted
