@@ -7,8 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from modelpulse.functions.storage import settle
+
 BROADCAST_ROWS = 200_000
 SALTS = 32
+#: Rows of one key that a task may hold.
+HOT_ROWS = 10_000
 
 
 def is_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
@@ -41,3 +45,23 @@ def lookup_join(
     salted = left.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
     copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(copies, [*on, "_salt"], how).drop("_salt")
+
+
+def even_join(
+    left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner", hot: int = HOT_ROWS
+) -> DataFrame:
+    """Join `left`, which is settled, with a lookup table that may be as large.
+
+    Only keys with more than `hot` rows on the left are salted, so the lookup table is not repeated
+    for all others. There is at most one hot key to `hot` rows.
+    """
+    on = list(on)
+    keys = left.groupBy(*on).agg(F.ceil(F.count(F.lit(1)) / F.lit(hot)).cast("int").alias("_salts")).where("_salts > 1")
+    salts = settle(keys)
+    dealt = left.join(F.broadcast(salts), on, "left").withColumn(
+        "_salt", F.pmod(F.xxhash64(*left.columns), F.coalesce("_salts", F.lit(1))).cast("int")
+    )
+    copies = right.join(F.broadcast(salts), on, "left").withColumn(
+        "_salt", F.explode(F.expr("sequence(0, coalesce(_salts, 1) - 1)"))
+    )
+    return dealt.drop("_salts").join(copies.drop("_salts"), [*on, "_salt"], how).drop("_salt")

@@ -19,12 +19,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from modelpulse.functions.joins import lookup_join
+from modelpulse.functions.joins import even_join, lookup_join
 from modelpulse.functions.ordering import overlapped, own_rows, running_totals
-from modelpulse.functions.storage import scratch_path, settle_counted, settle_rows
+from modelpulse.functions.storage import scratch_path, settle, settle_counted, settle_rows
 from modelpulse.operators.graph import CRITICAL, STRONG, WARNING, activity_periods, latest_edges
 
 ORIGIN = "origin"
+#: Nodes that are alike get the rows of their representative in shares of this many.
+SHARE = 1_000
 
 
 def silence_requests(
@@ -100,6 +102,89 @@ def _statuses(rows: DataFrame, order: Sequence[str]) -> DataFrame:
     return joined.select(*rows.columns, status.alias("status"))
 
 
+def _once(rows: DataFrame, moment: Sequence[str]) -> DataFrame:
+    return rows.groupBy("node", *moment).agg(
+        F.max("own").alias("own"), F.max("passed").alias("passed"), F.max("visited").alias("visited")
+    )
+
+
+def _unasked_statuses(rows: DataFrame, moment: Sequence[str]) -> DataFrame:
+    """`_statuses` of nodes that ask for nothing themselves: what they are handed only makes them worse,
+    so the first warning and the first critical moment of a node tell all."""
+    at = F.struct(*moment)
+    firsts = settle_rows(
+        rows.groupBy("node").agg(
+            F.min(F.when(F.col("passed") == CRITICAL, at)).alias("_critical"),
+            F.min(F.when(F.col("passed") == WARNING, at)).alias("_warning"),
+        ).where("_critical is not null or _warning is not null")
+    )
+    status = F.when(at >= F.col("_critical"), "critical").when(at >= F.col("_warning"), "warning").otherwise("green")
+    joined = lookup_join(rows, firsts, ["node"], "left", spread_by=moment)
+    return joined.select(*rows.columns, status.alias("status"))
+
+
+# --- nodes that are alike ------------------------------------------------------------------
+
+
+def _alike(links: DataFrame, levels: DataFrame, depth: int, asking: DataFrame) -> DataFrame | None:
+    """(node, rep): nodes that ask for nothing and have one parent, with the smallest node that has the
+    same moments. Those are nodes whose parents are alike and whose links are of one strength."""
+    ins = links.groupBy(F.col("dst").alias("node")).agg(
+        F.count(F.lit(1)).alias("_n"), F.min("src").alias("over"), F.bool_or("strong").alias("strong")
+    )
+    silent = settle_rows(ins.where("_n = 1").drop("_n").join(asking, "node", "left_anti").join(levels, "node"))
+    found: list[DataFrame] = []
+    for level in range(1, depth + 1):
+        # The one parent of a node is a level above it.
+        here = silent.where(F.col("level") == level).drop("level")
+        if found:
+            above = found[-1].select(F.col("node").alias("over"), "rep")
+            named = even_join(here, above, ["over"], "left")
+            here = settle_rows(named.select("node", F.coalesce("rep", "over").alias("over"), "strong"))
+        least = settle_rows(here.groupBy("over", "strong").agg(F.min("node").alias("rep")))
+        met = even_join(here, least, ["over", "strong"])
+        found.append(settle_rows(met.select("node", "rep")))
+    if not found:
+        return None
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+def _among_representatives(
+    links: DataFrame, levels: DataFrame, alike: DataFrame | None
+) -> tuple[DataFrame, set[int]]:
+    """Links between nodes of which those alike are one, and the levels with nodes of several parents."""
+    if alike is not None:
+        others = alike.where("node <> rep")
+        links = settle_rows(links.join(others.select(F.col("node").alias("dst")), "dst", "left_anti"))
+        links = even_join(links, others.select(F.col("node").alias("src"), "rep"), ["src"], "left")
+        links = links.groupBy(F.coalesce("rep", "src").alias("src"), "dst").agg(F.bool_or("strong").alias("strong"))
+        links = settle_rows(links)
+    many = links.groupBy(F.col("dst").alias("node")).count().where("count > 1").join(levels, "node")
+    return links, {r["level"] for r in many.select("level").distinct().collect()}
+
+
+def _of_those_alike(series: DataFrame, alike: DataFrame) -> DataFrame:
+    """The rows of representatives for the nodes that are like them. The nodes of one are dealt into
+    shares, each with a copy of its rows, so neither many nodes nor their product meet in one task."""
+    others = alike.where("node <> rep")
+    sizes = others.groupBy("rep").agg(F.ceil(F.count(F.lit(1)) / F.lit(SHARE)).cast("int").alias("_shares"))
+    # At most one representative to SHARE nodes has several shares.
+    large = F.broadcast(settle(sizes.where("_shares > 1")))
+    dealt = others.join(large, "rep", "left").select(
+        "rep", F.col("node").alias("_like"),
+        F.pmod(F.xxhash64("node"), F.coalesce("_shares", F.lit(1))).cast("int").alias("_share"),
+    )
+    named = series.withColumnRenamed("node", "rep")
+    copies = named.join(large, "rep", "left").select(
+        *named.columns, F.explode(F.expr("sequence(0, coalesce(_shares, 1) - 1)")).alias("_share")
+    )
+    told = copies.join(dealt, ["rep", "_share"])
+    return told.select(*[F.col("_like").alias("node") if c == "node" else F.col(c) for c in series.columns])
+
+
 def status_series(
     requests: DataFrame, edges: DataFrame, order: Sequence[str] = ("ts", "seq"), min_weight: float = STRONG
 ) -> DataFrame:
@@ -115,14 +200,19 @@ def status_series(
     """
     order = list(order)
     moment = [*order, ORIGIN]
-    known = latest_edges(edges, "seq" if "seq" in edges.columns else None)
+    known = latest_edges(edges.where("src is not null and dst is not null"), "seq" if "seq" in edges.columns else None)
     links = settle_rows(known.select("src", "dst", (F.col("weight") >= min_weight).alias("strong")))
     levels, depth = graph_levels(links)
+    asking = settle_rows(requests.select("node").distinct())
+    alike = _alike(links, levels, depth, asking)
+    links, several = _among_representatives(links, levels, alike)
     parents = links.select(F.col("src").alias("node")).distinct().withColumn("_parent", F.lit(True))
-    marked = settle_rows(levels.join(parents, "node", "left"))
+    heard = asking.withColumn("_asks", F.lit(True))
+    marked = settle_rows(levels.join(parents, "node", "left").join(heard, "node", "left"))
     down, n_links = settle_counted(
         links.join(marked.withColumnRenamed("node", "dst"), "dst").select(
-            F.col("src").alias("node"), "dst", "strong", "level", F.coalesce("_parent", F.lit(False)).alias("_parent")
+            F.col("src").alias("node"), "dst", "strong", "level", F.coalesce("_parent", F.lit(False)).alias("_parent"),
+            F.coalesce("_asks", F.lit(False)).alias("asks"),
         )
     )
     own = requests.select(
@@ -134,15 +224,23 @@ def status_series(
     series: list[DataFrame] = []
     for level in range(depth + 1):
         rows = own.where(F.col("level") == level).drop("level")
+        quiet = None
         for g in given:
-            rows = rows.unionByName(g.where(F.col("level") == level).drop("level"))
-        if given:
+            here = g.where(F.col("level") == level)
+            rows = rows.unionByName(here.where("asks").drop("level", "asks"))
+            unasked = here.where("not asks").drop("level", "asks")
+            quiet = unasked if quiet is None else quiet.unionByName(unasked)
+        if level in several:
             # A moment of a node comes once per parent.
-            rows = rows.groupBy("node", *moment).agg(
-                F.max("own").alias("own"), F.max("passed").alias("passed"), F.max("visited").alias("visited")
-            )
+            rows = _once(rows, moment)
+            quiet = settle_rows(_once(quiet, moment))
         told = settle_rows(_statuses(rows, moment))
         series.append(told.where("own is not null or passed is not null"))
+        if quiet is not None:
+            unasked = _unasked_statuses(quiet, moment)
+            told = told.unionByName(unasked)
+            series.append(unasked.where("passed is not null"))
+            series.append(_of_those_alike(series[-1], alike))
         if level == depth:
             break
         handed = F.when(F.col("status") == "critical", CRITICAL).when(F.col("status") == "warning", WARNING)
@@ -152,10 +250,10 @@ def status_series(
         # A walk that brings nothing to a node without children ends there.
         useful = passed.where("passed is not null or _parent").select(
             F.col("dst").alias("node"), *moment, F.lit(None).cast("string").alias("own"), "passed",
-            F.lit(True).alias("visited"), "level",
+            F.lit(True).alias("visited"), "level", "asks",
         )
         path = scratch_path(requests.sparkSession, "walks")
-        useful.write.partitionBy("level").parquet(path)
+        useful.write.partitionBy("level", "asks").parquet(path)
         given.append(requests.sparkSession.read.schema(useful.schema).parquet(path))
     out = series[0]
     for s in series[1:]:

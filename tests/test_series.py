@@ -118,3 +118,26 @@ def test_silences_ask_for_grey(spark):
     late = timedelta(minutes=10, microseconds=1)
     assert {(r.node, r.ts) for r in found} == {("a", rows[1][1] + late), ("b", START + late)}
     assert {r.req_status for r in found} == {"grey"}
+
+
+def test_nodes_that_are_alike_are_walked_once(spark, monkeypatch):
+    walked = []
+    whole = series._unasked_statuses
+    monkeypatch.setattr(series, "_unasked_statuses", lambda rows, moment: walked.append(rows.count()) or whole(rows, moment))
+    monkeypatch.setattr(series, "SHARE", 7)
+    at = lambda m: START + timedelta(minutes=m)
+    # Forty children of a, half of them over weak links, each with two children; one child asks itself.
+    edges = [("a", f"b{i:02d}", 0.9 if i % 2 else 0.1) for i in range(40)]
+    edges += [(f"b{i:02d}", f"c{i:02d}{k}", w) for i in range(40) for k, w in enumerate((0.8, 0.7))]
+    edges += [("b06", "d", 0.9), ("b07", "d", 0.2), ("d", "e", 0.6), ("b09", "e", 0.1)]
+    kinds = ["critical", "green", "warning", "critical", "green", "green", "critical", "reset"]
+    requests = [("a", at(2 * i), i, k) for i, k in enumerate(kinds)]
+    requests += [("b05", at(2 * i + 1), i, k) for i, k in enumerate(["warning", "critical", "green", "green", "reset"])]
+    assert told(spark, requests, edges) == step_by_step(requests, edges)
+    assert sum(walked) < 40
+
+
+def test_a_link_without_an_end_is_no_link(spark):
+    requests = [("a", START, 1, "critical")]
+    links = [("a", "b", 0.9), (None, "b", 0.9), ("a", None, 0.9)]
+    assert told(spark, requests, links) == step_by_step(requests, links[:1])
