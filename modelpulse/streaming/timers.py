@@ -6,6 +6,7 @@ import sys
 from collections.abc import Iterator, Mapping, Sequence
 from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -62,7 +63,7 @@ class OpenBatch(StatefulProcessor):
         self.rows = handle.getListState("rows", self.held)
         self.place = handle.getValueState("place", "tick bigint, part bigint")
 
-    def _flushed(self, key: tuple, rows: pd.DataFrame, tick: int, part: int) -> pd.DataFrame:
+    def _flushed(self, key: tuple, rows: pd.DataFrame, tick: int, part: int | np.ndarray) -> pd.DataFrame:
         return rows.assign(**dict(zip(self.keys, key)), tick=tick, part=part)[[*self.keys, *self.held.names, "tick", "part"]]
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
@@ -82,8 +83,10 @@ class OpenBatch(StatefulProcessor):
                 held, tick, part = [], mine, 0
             buffered = pd.concat([pd.DataFrame(held, columns=names), group], ignore_index=True) if held else group.reset_index(drop=True)
             full = len(buffered) // self.size
-            for k in range(full):
-                yield self._flushed(key, buffered[k * self.size : (k + 1) * self.size], tick, part + k)
+            if full:
+                # One frame for all full batches of a tick: each frame costs a message to the JVM.
+                sent = buffered[: full * self.size]
+                yield self._flushed(key, sent, tick, part + np.arange(len(sent)) // self.size)
             held, part = buffered[full * self.size :].values.tolist(), part + full
         if held:
             self.rows.put([tuple(r) for r in held])

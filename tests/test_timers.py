@@ -108,3 +108,55 @@ def test_options_are_put_back(spark):
     with timers.options(spark):
         assert spark.conf.get(key).endswith("RocksDBStateStoreProvider")
     assert spark.conf.get(key, None) == before
+
+
+class Handle:
+    """State of one key in memory, with a count of the calls to it."""
+
+    def __init__(self):
+        self.values, self.timers, self.calls = {}, set(), 0
+
+    def getValueState(self, name, schema):  # noqa: N802
+        handle = self
+
+        class Value:
+            def exists(self):
+                handle.calls += 1
+                return name in handle.values
+
+            def get(self):
+                handle.calls += 1
+                return handle.values[name]
+
+            def update(self, value):
+                handle.calls += 1
+                handle.values[name] = value
+
+            def clear(self):
+                handle.values.pop(name, None)
+
+        return Value()
+
+    getListState = getValueState  # noqa: N815
+
+    def registerTimer(self, at):  # noqa: N802
+        self.calls += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):  # noqa: N802
+        self.calls += 1
+        self.timers.discard(at)
+
+
+def test_full_batches_of_a_tick_are_sent_in_one_frame():
+    import pandas as pd
+    from pyspark.sql import types as T
+
+    held = T.StructType().add("id", "long").add("at_us", "long")
+    batch, handle = timers.OpenBatch(["model"], held, "at_us", ["at_us", "id"], 5, 1_000_000), Handle()
+    batch.init(handle)
+    batch.rows.put = batch.rows.update
+    rows = pd.DataFrame({"id": range(1_003), "at_us": range(1_003)})
+    frames = list(batch.handleInputRows(("a",), iter([rows]), None))
+    assert len(frames) == 1 and frames[0]["part"].tolist() == [i // 5 for i in range(1_000)]
+    assert [r[0] for r in handle.values["rows"]] == [1_000, 1_001, 1_002]
