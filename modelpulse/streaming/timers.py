@@ -153,47 +153,81 @@ def stream_rows_or_tick(
 ALERT = "node string, event string, at bigint, first_seen bigint, last_seen bigint, events bigint"
 
 
+#: Groups of nodes that are watched together.
+GROUPS = 128
+SEEN = {"node": object, "first": "int64", "last": "int64", "events": "int64", "grey": bool}
+
+
 class Silence(StatefulProcessor):
-    """Watch of one node: a timer one timeout after its last event, which a later event moves."""
+    """Watch of a group of nodes: one timer at the next moment at which one of them falls silent.
+
+    A node is silent one timeout after its last event, which a later event moves. The state is a list
+    per column with an entry per node, read and written at once: a call to the state costs far more
+    than a node.
+    """
 
     def __init__(self, timeout_us: int):
         self.timeout_us = timeout_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.seen = handle.getValueState("seen", "first bigint, last bigint, events bigint, grey boolean")
+        self.seen = handle.getValueState(
+            "seen",
+            "node array<string>, first array<bigint>, last array<bigint>, events array<bigint>, grey array<boolean>, timer bigint",
+        )
+
+    def _held(self) -> tuple[pd.DataFrame, int | None]:
+        *columns, timer = self.seen.get() if self.seen.exists() else (*[[]] * len(SEEN), None)
+        return pd.DataFrame({n: pd.Series(list(c), dtype=t) for (n, t), c in zip(SEEN.items(), columns)}), timer
+
+    def _keep(self, nodes: pd.DataFrame, timer: int | None) -> None:
+        """Write the state, with the timer at the next silence instead of the one that was set."""
+        ends = nodes.loc[~nodes["grey"], "last"]
+        wanted = _ms(int(ends.min()) + self.timeout_us + 1) if len(ends) else None
+        if wanted != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if wanted is not None:
+                self.handle.registerTimer(wanted)
+        self.seen.update((*[nodes[c].tolist() for c in SEEN], wanted))
 
-    def _alarm(self, node: str, first: int, last: int, events: int) -> tuple:
-        return (node, "grey", last + self.timeout_us + 1, first, last, events)
+    def _alarms(self, nodes: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({
+            "node": nodes["node"], "event": "grey", "at": nodes["last"] + self.timeout_us + 1,
+            "first_seen": nodes["first"], "last_seen": nodes["last"], "events": nodes["events"],
+        })
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        node = key[0]
-        slots = pd.concat(list(rows), ignore_index=True).sort_values(["first", "last"], ignore_index=True)
-        first, last, events, grey = self.seen.get() if self.seen.exists() else (None, None, 0, False)
-        timer, out = last, []
-        for f, t, n in zip(slots["first"].tolist(), slots["last"].tolist(), slots["events"].tolist()):
-            if last is not None and f - last > self.timeout_us:
-                if not grey:
-                    out.append(self._alarm(node, first, last, events))
-                out.append((node, "seen", f, f, f, 0))
-                first, events, grey = None, 0, False
-            first = f if first is None else min(first, f)
-            last, events = t if last is None else max(last, t), events + n
-        self.seen.update((first, last, events, grey))
-        if timer != last:
-            if timer is not None:
-                self.handle.deleteTimer(_ms(timer + self.timeout_us + 1))
-            self.handle.registerTimer(_ms(last + self.timeout_us + 1))
-        if out:
-            yield pd.DataFrame(out, columns=["node", "event", "at", "first_seen", "last_seen", "events"])
+        held, timer = self._held()
+        new = pd.concat([r[["node", "first", "last", "events"]] for r in rows], ignore_index=True)
+        new = new.sort_values(["first", "last"], kind="stable").assign(grey=False)
+        # What was known of a node stands before its new slots.
+        slots = pd.concat([held, new], ignore_index=True).astype(SEEN)
+        slots = slots.sort_values("node", kind="stable", ignore_index=True)
+        until = slots.groupby("node", sort=False)["last"].cummax()
+        same = (slots["node"] == slots["node"].shift()).to_numpy()
+        back = same & (slots["first"] - until.shift(fill_value=0) > self.timeout_us).to_numpy()
+        period = np.cumsum(~same | back)
+        periods = slots.groupby(period, sort=False).agg(
+            node=("node", "first"), first=("first", "min"), last=("last", "max"), events=("events", "sum"), grey=("grey", "first")
+        )
+        began = slots.loc[back, ["node", "first"]]
+        latest = (periods["node"] != periods["node"].shift(-1)).to_numpy()
+        self._keep(periods[latest], timer)
+        told = periods[~latest]
+        if len(told):
+            yield self._alarms(told[~told["grey"]])
+            seen = began["first"]
+            yield pd.DataFrame({"node": began["node"], "event": "seen", "at": seen, "first_seen": seen, "last_seen": seen, "events": 0})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        if self.seen.exists():
-            first, last, events, grey = self.seen.get()
-            if not grey:
-                self.seen.update((first, last, events, True))
-                row = self._alarm(key[0], first, last, events)
-                yield pd.DataFrame([row], columns=["node", "event", "at", "first_seen", "last_seen", "events"])
+        held, _ = self._held()
+        # The timer that fired is gone; a node is silent when its whole millisecond has come.
+        ends = -(-(held["last"] + self.timeout_us + 1) // 1_000)
+        silent = (ends <= max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())) & ~held["grey"]
+        self._keep(held.assign(grey=held["grey"] | silent), None)
+        if silent.any():
+            yield self._alarms(held[silent])
 
     def close(self) -> None:
         pass
@@ -207,13 +241,15 @@ def _busy(batches: Iterator[pd.DataFrame], width: int) -> Iterator[pd.DataFrame]
         yield told.reset_index()[["node", "first", "last", "events", "moment"]]
 
 
-def silence_alerts(stream: DataFrame, timeout_seconds: float, watermark: str) -> DataFrame:
+def silence_alerts(stream: DataFrame, timeout_seconds: float, watermark: str, groups: int = GROUPS) -> DataFrame:
     """Alerts of a stream of (node, ts): (node, event, at, first_seen, last_seen, events).
 
     'grey' comes once the watermark has passed the moment (`at`) at which a node has been silent for
     longer than the timeout, with the period of activity before it, also for nodes that never send
     again; 'seen' withdraws it when the node does. Tasks first bring the events of a node down to two
-    moments per slot, so a hot node sends few rows. Start the stream inside `options(spark)`.
+    moments per slot, so a hot node sends few rows. Nodes are watched in `groups` of them, whose states
+    grow with the number of nodes; a stream keeps the number it began with. Start the stream inside
+    `options(spark)`.
     """
     width = int(timeout_seconds * 1_000_000)
     moments = stream.select("node", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.col("ts").cast("timestamp").alias("moment"))
@@ -222,7 +258,8 @@ def silence_alerts(stream: DataFrame, timeout_seconds: float, watermark: str) ->
     )
     alerts = (
         busy.withWatermark("moment", watermark)
-        .groupBy("node")
+        .withColumn("group", F.pmod(F.xxhash64("node"), F.lit(groups)).cast("int"))
+        .groupBy("group")
         .transformWithStateInPandas(Silence(width), outputStructType=ALERT, outputMode="Append", timeMode="EventTime")
     )
     return alerts.select(

@@ -160,3 +160,21 @@ def test_full_batches_of_a_tick_are_sent_in_one_frame():
     frames = list(batch.handleInputRows(("a",), iter([rows]), None))
     assert len(frames) == 1 and frames[0]["part"].tolist() == [i // 5 for i in range(1_000)]
     assert [r[0] for r in handle.values["rows"]] == [1_000, 1_001, 1_002]
+
+
+def test_many_nodes_are_watched_with_few_calls():
+    import pandas as pd
+
+    watch, handle = timers.Silence(100_000), Handle()
+    watch.init(handle)
+    names = [f"n{i:03d}" for i in range(200)]
+
+    def slots(at):
+        return pd.DataFrame({"node": names, "first": at, "last": at + 5, "events": 2})
+
+    assert not list(watch.handleInputRows((0,), iter([slots(1_000)]), None)) and handle.timers == {102}
+    told = pd.concat(watch.handleInputRows((0,), iter([slots(50_000), slots(500_000)]), None))
+    assert told.groupby("event").size().to_dict() == {"grey": 200, "seen": 200}
+    grey = told[told["event"] == "grey"]
+    assert set(zip(grey["at"], grey["first_seen"], grey["last_seen"], grey["events"])) == {(150_006, 1_000, 50_005, 4)}
+    assert handle.timers == {601} and handle.calls < 20
