@@ -49,6 +49,13 @@ def settle_counted(df: DataFrame) -> tuple[DataFrame, int]:
     return settled, int(seen.get["n"])
 
 
+def settle_rows_counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """`settle_rows`, with the number of rows counted on the way."""
+    seen = Observation()
+    settled = settle_rows(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    return settled, int(seen.get["n"])
+
+
 def settle_observed(df: DataFrame, **seen: Column) -> tuple[DataFrame, dict]:
     """`settle`, with totals of the rows taken on the way: an aggregate per name."""
     note = Observation()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from modelpulse.functions.joins import BROADCAST_ROWS, is_small, lookup_join
 from modelpulse.functions.ordering import number_rows, overlapped, own_rows
-from modelpulse.functions.storage import settle_counted, settle_rows
+from modelpulse.functions.storage import settle_counted, settle_rows, settle_rows_counted
 from modelpulse.operators.contraction import contract, levels_of
 from modelpulse.spec import NODE_STATUSES, STATUS_SCORES
 
@@ -116,21 +116,30 @@ def adjacency(edges: DataFrame, page: int = PAGE) -> DataFrame:
 
     A node with very many neighbours gets many rows instead of one huge array.
     """
-    both = edges.select(
-        F.inline(
-            F.array(
-                F.struct(F.col("src").alias("node"), F.lit("downstream").alias("side"),
-                         F.col("dst").alias("other")),
-                F.struct(F.col("dst").alias("node"), F.lit("upstream").alias("side"),
-                         F.col("src").alias("other")),
-            )
-        )
-    ).distinct()
-    numbered = number_rows(both, ["node", "side"], ["other"], "_pos")
-    paged = numbered.withColumn("page_no", F.floor(F.col("_pos") / F.lit(page)).cast("bigint"))
-    return paged.groupBy("node", "side", "page_no").agg(
-        F.sort_array(F.collect_list("other")).alias("neighbours")
+    told = settle_rows(edges.select(F.col("src"), F.col("dst")).distinct())
+    sides = [("src", "downstream", "dst"), ("dst", "upstream", "src")]
+    lists = [_neighbours(told, node, side, other, page) for node, side, other in sides]
+    return lists[0].unionByName(lists[1])
+
+
+def _neighbours(links: DataFrame, node: str, side: str, other: str, page: int) -> DataFrame:
+    """One side of `adjacency` of distinct links. Only nodes with more neighbours than go into a page get
+    them numbered; there are few of those."""
+    rows = links.select(F.col(node).alias("node"), F.col(other).alias("other"))
+    counts = rows.groupBy("node").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > page)
+    hubs, n = settle_counted(counts.select(F.col("node").alias("_hub")))
+    whole, paged = rows.withColumn("page_no", F.lit(0).cast("bigint")), None
+    if n:
+        is_hub = F.col("node").eqNullSafe(F.col("_hub"))
+        whole = whole.join(F.broadcast(hubs), is_hub, "left_anti")
+        numbered = number_rows(rows.join(F.broadcast(hubs), is_hub, "left_semi"), ["node"], ["other"], "_pos")
+        paged = numbered.select("node", "other", F.floor(F.col("_pos") / F.lit(page)).cast("bigint").alias("page_no"))
+        paged = paged.groupBy("node", "page_no").agg(F.sort_array(F.collect_list("other")).alias("neighbours"))
+    lists = whole.groupBy("node").agg(
+        F.lit(0).cast("bigint").alias("page_no"), F.sort_array(F.collect_list("other")).alias("neighbours")
     )
+    out = lists if paged is None else lists.unionByName(paged)
+    return out.select("node", F.lit(side).alias("side"), "page_no", "neighbours")
 
 
 def check_graph(
@@ -203,7 +212,7 @@ def _spread(links: DataFrame, seeds: DataFrame) -> DataFrame:
 
 def _rounds(links: DataFrame, begun: DataFrame, limit: int | None = None) -> tuple[DataFrame, bool]:
     """Levels after at most `limit` rounds, and whether no round is open."""
-    frontier, size = settle_counted(begun)
+    frontier, size = settle_rows_counted(begun)
     found, tables, done = frontier, 1, 0
     given = F.expr(f"greatest(if(strong, level, {ACTIVE}), own) as level")
     while size and done != limit:
@@ -211,7 +220,7 @@ def _rounds(links: DataFrame, begun: DataFrame, limit: int | None = None) -> tup
         best = reached.groupBy("node").agg(F.max("level").alias("level")).alias("n")
         known = found.alias("o")
         not_lower = (F.col("n.node") == F.col("o.node")) & (F.col("o.level") >= F.col("n.level"))
-        frontier, size = settle_counted(best.join(known, not_lower, "left_anti"))
+        frontier, size = settle_rows_counted(best.join(known, not_lower, "left_anti"))
         done += 1
         if size:
             found, tables = found.unionByName(frontier), tables + 1
@@ -240,7 +249,7 @@ def propagate(
     """
     latest = latest_edges(edges, "seq" if "seq" in edges.columns else None)
     own = F.expr(f"case status when 'critical' then {CRITICAL} when 'warning' then {WARNING} end")
-    alarmed, count = settle_counted(
+    alarmed, count = settle_rows_counted(
         status.where("status in ('critical', 'warning')").select(
             F.col("node").alias("dst"), own.alias("own")
         )

@@ -53,12 +53,13 @@ def trace_nodes(traces: DataFrame, column: str = "trace") -> DataFrame:
 
     The document may hold the nodes directly or below a `nodes` key.
     """
-    body = F.coalesce(F.get_json_object(column, "$.nodes"), F.col(column))
-    shape = (
-        "map<string, struct<name: string, owner: string, status: string,"
-        " upstream: array<string>, downstream: array<string>>>"
-    )
-    rows = traces.select(F.explode(F.from_json(body, shape)).alias("_name", "_node"))
+    shape = "map<string, struct<name: string, owner: string, status: string, downstream: array<string>>>"
+    text = F.col(column)
+    # Most documents show by their text where the nodes are, and are read only once.
+    named = text.contains('"nodes"') | text.contains("\\u")
+    body = F.when(named, F.coalesce(F.get_json_object(column, "$.nodes"), text)).otherwise(text)
+    nodes = F.when(text.rlike(r'^\s*\{\s*"nodes"\s*:\s*\{'), F.from_json(text, f"nodes {shape}")["nodes"])
+    rows = traces.select(F.explode(F.coalesce(nodes, F.from_json(body, shape))).alias("_name", "_node"))
     node = rows.select("_node.*")
     return node.select(
         "name",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from modelpulse.functions.ordering import number_rows
-from modelpulse.functions.storage import scratch_path, settle
+from modelpulse.functions.storage import scratch_path, settle, settle_rows
 from modelpulse.operators import graph, reporting, series
 from modelpulse.operators.cycles import strong_components
 from modelpulse.plans import monitor
@@ -401,7 +401,7 @@ dn AS (SELECT src AS node, page_no, string_agg('"' || dst || '"', ',' ORDER BY d
 
 def _spread_trace(spark, sf_dir):
     nodes, edges = t.graph_tables(spark, sf_dir)
-    status = settle(graph.propagate(*_own_status(spark, sf_dir)))
+    status = settle_rows(graph.propagate(*_own_status(spark, sf_dir)))
     return graph.trace_json(nodes, edges, status)
 
 

@@ -284,3 +284,25 @@ def test_requests_of_one_kind_and_latency(spark):
     assert (row.p50, row.p95) == (50.0, 95.0)
     stats = reporting.latency_stats(df, "ms", ["m"], 90.0).first()
     assert (stats.records, stats.slow, stats.max_ms, stats.latency_ms) == (100, 10, 100.0, 50.5)
+
+
+def test_only_nodes_with_several_pages_are_numbered(spark, monkeypatch):
+    numbered = []
+    whole = graph.number_rows
+    monkeypatch.setattr(graph, "number_rows", lambda df, *a: numbered.append(df.count()) or whole(df, *a))
+    links = [("hub", f"n{i:02d}") for i in range(25)] + [(f"n{i:02d}", f"m{i:02d}") for i in range(25)] * 2
+    edges = spark.createDataFrame(links, "src string, dst string")
+    found = {(r.node, r.side, r.page_no): r.neighbours for r in graph.adjacency(edges, page=10).collect()}
+    assert numbered == [25]
+    assert [len(found["hub", "downstream", p]) for p in range(3)] == [10, 10, 5]
+    assert found["n03", "upstream", 0] == ["hub"] and found["n03", "downstream", 0] == ["m03"]
+    assert len(found) == 3 + 25 * 3
+
+
+def test_trace_documents_of_every_form_are_read(spark):
+    entry = '{"a_b":{"name":"a_b","owner":"nodes","status":"warning","upstream":[],"downstream":["c"]}}'
+    quoted = entry.replace('"', '\\"')
+    docs = [entry, f'{{"nodes":{entry}}}', f'{{"at":1,"nodes":{entry}}}', f'{{"nodes":"{quoted}"}}']
+    for doc in docs:
+        rows = reporting.trace_nodes(spark.createDataFrame([(doc,)], "trace string")).collect()
+        assert [(r.name, r.label, r.owner, r.alert, r.downstream) for r in rows] == [("a_b", "a b", "nodes", True, ["c"])]
