@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+#: Remove the shuffle files of a query at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_root(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; a temporary one only in local mode."""
@@ -38,10 +41,47 @@ def settle_rows(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, "settled")
-    df.write.parquet(path)
+    _write(df, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Passing:
+    """Tables that a call settles on the way to a settled result and removes behind it.
+
+    Only what no later step reads may be removed: a result that still reads one of them fails.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: list[str] = []
+
+    def settle_rows(self, df: DataFrame) -> DataFrame:
+        path = scratch_path(self.spark, "passing")
+        _write(df, path)
+        self.paths.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def remove(self, keep: int = 0) -> None:
+        """Remove all but the newest `keep` tables."""
+        gone = self.paths[: len(self.paths) - keep]
+        self.paths = self.paths[len(gone) :]
+        for path in gone:
+            folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def _write(df: DataFrame, path: str) -> None:
+    """Write files that replace all that was shuffled for them; else shuffles pile up until
+    the driver collects its garbage."""
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP, None)
+    conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.unset(CLEANUP) if before is None else conf.set(CLEANUP, before)
+
+
 def settle_counted(df: DataFrame) -> tuple[DataFrame, int]:
     """`settle`, with the number of rows counted on the way instead of by a second job."""
     seen = Observation()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from modelpulse.functions.storage import settle_rows
+from modelpulse.functions.storage import Passing, settle_rows
 
 
 def components(links: DataFrame, left: str, right: str) -> DataFrame:
@@ -13,12 +13,13 @@ def components(links: DataFrame, left: str, right: str) -> DataFrame:
 
     Rounds of label propagation with shortcuts: each node takes the smallest label among its
     own and its neighbours', which is partly summed before the shuffle, then the label of its
-    label. Every round is written to the shared folder; a round without a change is the last.
-    Links may repeat, point either way or at their own node.
+    label. Every round is written to the shared folder and replaces the one before; a round
+    without a change is the last. Links may repeat, point either way or at their own node.
     """
+    links_on_way, rounds = Passing(links.sparkSession), Passing(links.sparkSession)
     pairs = links.select(F.col(left).alias("a"), F.col(right).alias("b")).where("a is not null and b is not null")
-    both = settle_rows(pairs.union(pairs.select("b", "a")).where("a <> b").distinct())
-    label = settle_rows(both.groupBy("a").agg(F.least("a", F.min("b")).alias("label")))
+    both = links_on_way.settle_rows(pairs.union(pairs.select("b", "a")).where("a <> b").distinct())
+    label = rounds.settle_rows(both.groupBy("a").agg(F.least("a", F.min("b")).alias("label")))
     while True:
         # The label of a node's label, then the smallest one among the neighbours.
         far = label.select(F.col("a").alias("label"), F.col("label").alias("far"))
@@ -27,8 +28,10 @@ def components(links: DataFrame, left: str, right: str) -> DataFrame:
         moved = jumped.join(offered, jumped["a"] == offered["b"]).select(
             "a", F.least("label", "offer").alias("label"), "was"
         )
-        moved = settle_rows(moved)
+        moved = rounds.settle_rows(moved)
+        rounds.remove(keep=1)
         changed = moved.where("label <> was").limit(1).count()
         label = moved.select("a", "label")
         if not changed:
+            links_on_way.remove()
             return label.select(F.col("a").alias("node"), F.col("label").alias("component"))

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from modelpulse.functions.storage import settle_rows
+from modelpulse.functions.storage import Passing, settle_rows
 from modelpulse.llm.common import WORD, besides, fresh, let
 
 #: Words of a run that counts as a passage.
@@ -101,7 +101,8 @@ def repeated_lines(
     )
     # The outer form, as the other adds a filter on the windows that would be worked out once more
     # below, from the whole text at each line.
-    cells = settle_rows(
+    on_way = Passing(docs.sparkSession)
+    cells = on_way.settle_rows(
         both.select("id", "version", "places", F.explode_outer("windows").alias("w")).where("w is not null").select(
             "id", "version", "w.*", F.slice("places", F.col("w.start"), F.col("w.n")).alias("covers")
         )
@@ -113,9 +114,13 @@ def repeated_lines(
     near = cells.join(marks, "mark", "left_semi")
     heads = near.groupBy("content", "n").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1")
     later = near.join(heads.drop("times"), ["content", "n"]).where(at > F.col("first"))
-    return later.groupBy("id", "version").agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("covers")))).alias("places")
+    found = settle_rows(
+        later.groupBy("id", "version").agg(
+            F.array_sort(F.array_distinct(F.flatten(F.collect_set("covers")))).alias("places")
+        )
     )
+    on_way.remove()
+    return found
 
 
 def dedup_lines(
@@ -133,7 +138,8 @@ def dedup_lines(
     gone_id, gone_version = fresh(docs.columns, "gone_id"), fresh(docs.columns, "gone_version")
     gone = found.select(F.col("id").alias(gone_id), F.col("version").alias(gone_version), F.col("places").alias(places))
     rows = docs.withColumn(key, F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    joined = rows.join(gone, (F.col(doc_id) == F.col(gone_id)) & (F.col(key) == F.col(gone_version)), "left")
+    # Merged at every size: lists of places have no bound that a broadcast could rely on.
+    joined = rows.join(gone.hint("merge"), (F.col(doc_id) == F.col(gone_id)) & (F.col(key) == F.col(gone_version)), "left")
     lines = F.split(F.col(text), "\n", -1)
     # Runs of places to keep: what lies between the deleted ones.
     kept = let(

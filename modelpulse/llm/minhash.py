@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from modelpulse.functions.storage import settle_rows
+from modelpulse.functions.storage import Passing, settle_rows
 from modelpulse.llm.common import text_chunks
 from modelpulse.llm.components import components
 from modelpulse.llm.shingles import mixed, ragged_range, shingle_hashes
@@ -255,11 +255,11 @@ def blocks_for(load: Column, widest: Column) -> Column:
     return F.greatest(F.lit(1), F.ceil(load / F.greatest(F.lit(BLOCK_LOAD), 4 * widest))).cast("bigint")
 
 
-def star_units(entries: DataFrame) -> DataFrame:
+def star_units(entries: DataFrame, on_way: Passing) -> DataFrame:
     """Units that compare the texts of each bucket with its head."""
     company = entries.groupBy("id").agg(F.sum("size").alias("company"))
     heads = entries.join(company, "id").groupBy("band", "value").agg(F.max(F.struct("company", "id")).getField("id").alias("head"))
-    stars = settle_rows(
+    stars = on_way.settle_rows(
         entries.join(heads, ["band", "value"]).where("id <> head").select("head", "id", "load").distinct()
     )
     split = stars.groupBy("head").agg(blocks_for(F.sum("load"), F.max("load")).alias("blocks"))
@@ -279,7 +279,7 @@ def star_units(entries: DataFrame) -> DataFrame:
     return members.union(middles)
 
 
-def open_units(entries: DataFrame, groups: DataFrame) -> DataFrame:
+def open_units(entries: DataFrame, groups: DataFrame, on_way: Passing) -> DataFrame:
     """Units that compare the texts outside the largest group of a bucket with all others in it."""
     placed = entries.join(groups, F.col("id") == F.col("node"), "left").select(
         "band", "value", "id", "load", F.coalesce("component", "id").alias("g")
@@ -292,7 +292,7 @@ def open_units(entries: DataFrame, groups: DataFrame) -> DataFrame:
         blocks_for(F.col("main.load"), F.col("widest")).alias("mains"),
         blocks_for(F.col("load") - F.col("main.load"), F.col("widest")).alias("rests"),
     )
-    dealt = settle_rows(placed.join(split, ["band", "value"]).select(
+    dealt = on_way.settle_rows(placed.join(split, ["band", "value"]).select(
         F.xxhash64("band", "value").alias("bucket"), "id", "g", (F.col("g") == F.col("main")).alias("inside"), "mains", "rests",
         F.pmod(F.xxhash64("id", F.lit(5)), F.when(F.col("g") == F.col("main"), F.col("mains")).otherwise(F.col("rests"))).alias("own"),
     ))
@@ -338,18 +338,24 @@ def near_duplicates(
         named.withColumn("digest", digest).groupBy("id").agg(F.min(F.struct("digest")).getField("digest").alias("digest"))
     )
     classes = settle_rows(marked.where("digest is not null").groupBy("digest").agg(F.min("id").alias("text_id")))
-    texts = settle_rows(
+    # Tables that hold texts, sketches or entries are read no more once the links are found.
+    on_way = Passing(docs.sparkSession)
+    texts = on_way.settle_rows(
         named.where("t <> ''").withColumn("d", F.sha2("t", 256))
         .join(classes, (F.col("id") == F.col("text_id")) & (F.col("d") == F.col("digest")))
-        .select("id", "t").dropDuplicates(["id"])
+        .dropDuplicates(["id", "d"]).select("id", "t")
     )
-    sketch = settle_rows(sketched(texts, "id", "t", width, rows, bands))
+    sketch = on_way.settle_rows(sketched(texts, "id", "t", width, rows, bands))
     # One row for each text and band with company in it.
     banded = sketch.select("id", (F.col("n") + TEXT_LOAD).alias("load"), F.posexplode("bands").alias("band", "value"))
     sizes = banded.groupBy("band", "value").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    entries = settle_rows(banded.join(sizes, ["band", "value"]))
-    groups = components(settle_rows(linked(star_units(entries), texts, width, least)), "a", "b")
-    more = components(settle_rows(linked(open_units(entries, groups), texts, width, least)), "a", "b")
+    entries = on_way.settle_rows(banded.join(sizes, ["band", "value"]))
+    # Only texts with company are compared; the others are shuffled no more. Merged at every size,
+    # as the ids grow with the documents.
+    near = on_way.settle_rows(texts.join(entries.select("id").distinct().hint("merge"), "id", "left_semi"))
+    groups = components(on_way.settle_rows(linked(star_units(entries, on_way), near, width, least)), "a", "b")
+    more = components(on_way.settle_rows(linked(open_units(entries, groups, on_way), near, width, least)), "a", "b")
+    on_way.remove()
     # What the second links join are groups of the first, or single texts.
     second = more.select(F.col("node").alias("g"), F.col("component").alias("further"))
     found = classes.join(groups, F.col("text_id") == F.col("node"), "left").withColumn("g", F.coalesce("component", "text_id"))

@@ -141,7 +141,7 @@ def mix(
     stand next to each other in the seeded order, so that reruns agree; repeated rows count
     each. A source ends within one document of its target.
     """
-    c = {n: fresh(docs.columns, f"mix_{n}") for n in ("sources", "size", "at", "slice", "earlier", "before", "kept", "rest")}
+    c = {n: fresh(docs.columns, f"mix_{n}") for n in ("sources", "size", "at", "slice", "earlier", "before", "kept", "rest", "full", "edge")}
     order = F.xxhash64(F.lit(seed), F.col(doc_id), size)
     rows = docs.select(
         "*", F.array_sort(F.array_distinct(memberships)).alias(c["sources"]), size.alias(c["size"]), order.alias(c["at"])
@@ -176,29 +176,34 @@ def mix(
         "words",
     )
     same = lambda a, b: a[c["sources"]].eqNullSafe(b[c["sources"]])
-    # Slices wholly inside the words still wanted, and the one in which they end.
-    cut = spans.join(F.broadcast(wanted), same(spans, wanted)).select(
-        spans[c["sources"]], c["slice"], c["earlier"], c["kept"], c["rest"], "words"
+    # The last slice wholly inside the words still wanted, and the one in which they end: a row for
+    # each pattern, as in the plan, so that the documents are never shuffled to meet it.
+    ends = F.col(c["earlier"]) + F.col("words")
+    in_edge = (F.col(c["earlier"]) < F.col(c["rest"])) & (ends > F.col(c["rest"]))
+    cut = spans.join(F.broadcast(wanted), same(spans, wanted)).groupBy(spans[c["sources"]], c["kept"], c["rest"]).agg(
+        F.max(F.when(ends <= F.col(c["rest"]), F.col(c["slice"]))).alias(c["full"]),
+        F.max(F.when(in_edge, F.col(c["slice"]))).alias(c["edge"]),
+        F.max(F.when(in_edge, F.col(c["earlier"]))).alias(c["earlier"]),
     )
     cut = settle_rows(cut)
     cuts = {x: fresh([*docs.columns, *c.values()], f"cut_{x}") for x in cut.columns}
     rows = rows.alias("r").join(
-        cut.select(*[F.col(x).alias(y) for x, y in cuts.items()]),
-        F.expr(f"r.`{c['sources']}` <=> `{cuts[c['sources']]}` and r.`{c['slice']}` = `{cuts[c['slice']]}`"),
+        F.broadcast(cut.select(*[F.col(x).alias(y) for x, y in cuts.items()])),
+        F.expr(f"r.`{c['sources']}` <=> `{cuts[c['sources']]}`"),
         "left",
     )
-    earlier, rest, kept, words = (F.col(cuts[x]) for x in (c["earlier"], c["rest"], c["kept"], "words"))
-    edge = (earlier < rest) & (earlier + words > rest)
+    rest, kept = F.col(cuts[c["rest"]]), F.col(cuts[c["kept"]])
+    edge = F.col(c["slice"]) == F.col(cuts[c["edge"]])
     inside = rows.where(edge).selectExpr(
         "*",
         f"`{cuts[c['earlier']]}` + coalesce(sum(`{c['size']}`) over (partition by `{c['sources']}`, `{c['slice']}`"
         f" order by `{c['at']}`, `{doc_id}`, `{c['size']}` rows between unbounded preceding and 1 preceding), 0) as `{c['before']}`",
     )
-    outside = rows.where(~F.coalesce(edge, F.lit(False))).withColumn(c["before"], earlier)
+    outside = rows.where(~F.coalesce(edge, F.lit(False))).withColumn(c["before"], F.lit(None).cast("bigint"))
     done = inside.unionByName(outside)
     # The document in which the words end is taken if that comes nearer.
     more = (F.col(c["before"]) < rest) & (2 * (rest - F.col(c["before"])) >= F.col(c["size"]))
-    whole = (earlier + words <= rest)
+    whole = F.col(c["slice"]) <= F.col(cuts[c["full"]])
     copies = F.coalesce(kept + F.when(F.col(c["size"]) == 0, 0).when(whole | more, 1).otherwise(0), F.lit(0))
     own = besides(docs.columns, ("size", "copies", "taken"))
     return done.select(
