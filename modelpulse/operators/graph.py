@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from modelpulse.functions.joins import BROADCAST_ROWS, is_small, lookup_join
+from modelpulse.functions.joins import BROADCAST_ROWS, even_join, is_small, lookup_join
 from modelpulse.functions.ordering import number_rows, overlapped, own_rows
 from modelpulse.functions.storage import settle_counted, settle_rows, settle_rows_counted
 from modelpulse.operators.contraction import contract, levels_of
@@ -170,7 +170,6 @@ def check_graph(
 
 
 ACTIVE, WARNING, CRITICAL = 1, 2, 3
-HUB_SALTS = 32
 #: Rounds over the links as they are; a spread still going on then is a deep one.
 PLAIN_ROUNDS = 4
 #: Tables of earlier rounds that a round looks into; then they are made one, so plans don't grow.
@@ -180,15 +179,13 @@ STATE_TABLES = 8
 def _follow(links: DataFrame, frontier: DataFrame, size: int) -> DataFrame:
     """Links that leave the frontier, with the level of the node they leave.
 
-    A small frontier is broadcast. With a larger one both sides shuffle on src; salting the
-    links by their target keeps a hub with very many of them out of a single task.
+    A small frontier is broadcast. With a larger one both sides shuffle on src, and the links of
+    hubs are dealt out, so a hub with very many of them stays out of a single task.
     """
     begun = frontier.select(F.col("node").alias("src"), "level")
     if size <= BROADCAST_ROWS:
         return links.join(F.broadcast(begun), "src")
-    salt = F.pmod(F.xxhash64("dst"), F.lit(HUB_SALTS)).cast("int")
-    copies = begun.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(HUB_SALTS - 1))))
-    return links.withColumn("_salt", salt).join(copies, ["src", "_salt"])
+    return even_join(links, begun, ["src"])
 
 
 def _spread(links: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -218,7 +215,7 @@ def _rounds(links: DataFrame, begun: DataFrame, limit: int | None = None) -> tup
     while size and done != limit:
         reached = _follow(links, frontier, size).select(F.col("dst").alias("node"), given)
         best = reached.groupBy("node").agg(F.max("level").alias("level")).alias("n")
-        known = found.alias("o")
+        known = found.hint("merge").alias("o")
         not_lower = (F.col("n.node") == F.col("o.node")) & (F.col("o.level") >= F.col("n.level"))
         frontier, size = settle_rows_counted(best.join(known, not_lower, "left_anti"))
         done += 1
@@ -266,7 +263,7 @@ def propagate(
     new = F.expr(f"case level when {CRITICAL} then 'critical' when {WARNING} then 'warning' end")
     raised = levels.select("node", new.alias("_new"))
     after = F.coalesce(F.col("_new"), F.col("status"))
-    return status.join(raised, "node", "left").select(
+    return status.join(raised.hint("merge"), "node", "left").select(
         "node", after.alias("status"), (after != F.col("status")).alias("raised")
     )
 
@@ -276,7 +273,8 @@ def inject_failures(
 ) -> DataFrame:
     """Failed nodes (node, failure) turn critical, carry their failure, and spread it."""
     spread = propagate(status, edges, failed, min_weight)
-    return spread.join(failed.select("node", "failure"), "node", "left")
+    told, count = settle_rows_counted(failed.select("node", "failure"))
+    return lookup_join(spread, told, ["node"], "left", rows=count)
 
 
 # --- heartbeats ---------------------------------------------------------------------------
