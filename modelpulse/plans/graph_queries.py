@@ -161,7 +161,7 @@ def _own_status(spark, sf_dir):
     customers = t.table(spark, sf_dir, "customer").selectExpr(
         "concat('customer_', c_custkey) as node", "c_acctbal"
     )
-    status = nodes.join(customers, "node", "left").selectExpr(
+    status = nodes.join(customers.hint("merge"), "node", "left").selectExpr(
         "node",
         """case when c_acctbal < -500 then 'critical' when c_acctbal < 1000 then 'warning'
                 else 'green' end as status""",
