@@ -355,8 +355,8 @@ def trace_json(
     state = status if "metrics" in status.columns else status.withColumn("metrics", F.lit("{}"))
     joined = (
         nodes.select("node", "owner")
-        .join(state.select("node", "status", "metrics"), "node", "left")
-        .join(lists, "node", "left")
+        .join(state.select("node", "status", "metrics").hint("merge"), "node", "left")
+        .join(lists.hint("merge"), "node", "left")
     )
     none = F.array().cast("array<string>")
     entry = F.struct(
