@@ -55,7 +55,7 @@ def test_copies_for_salts_are_not_broadcast(spark, monkeypatch, join):
     assert (plans, rows) == told(spark, monkeypatch, "-1", run) and len(rows) == 300
 
 
-@pytest.mark.parametrize("name", ["inject_failure", "propagate_impact", "graph_trace_json", "trace_nodes"])
+@pytest.mark.parametrize("name", ["inject_failure", "propagate_impact", "graph_trace_json", "trace_nodes", "trace_nodes_edges"])
 def test_spread_broadcasts_counted_tables_only(spark, tables, monkeypatch, name):
     how, spread, _, salts, rows = joins.lookup_join.__defaults__
     monkeypatch.setattr(joins.lookup_join, "__defaults__", (how, spread, 0, salts, rows))
